@@ -5,11 +5,107 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_duplicate_links
+from loomwright.llm.overlap import cross_split_overlaps, expand_pairs
 from loomwright.llm.topn import top_n_per_group
 from loomwright.sources.tables import read_table
 
 
+def _records_of_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Query texts and judged solution texts as (space, id, text, train, held)."""
+    qrels = read_table(spark, folder, "qrels")
+    split = [F.max(F.col("split") == "train").alias("train"), F.max(F.col("split").isin("valid", "test")).alias("held")]
+    of_query = qrels.groupBy(F.col("qid").alias("id")).agg(*split)
+    of_doc = qrels.filter("rel > 0").groupBy(F.col("doc_id").alias("id")).agg(*split)
+    texts = read_table(spark, folder, "queries").select(F.col("qid").alias("id"), "text").join(of_query, "id")
+    docs = read_table(spark, folder, "corpus").select(F.col("doc_id").alias("id"), "text").join(of_doc, "id")
+    return texts.withColumn("space", F.lit("query")).unionByName(docs.withColumn("space", F.lit("doc")))
+
+
+def _judged_in_both(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are judged relevant in the training split and in an evaluation split."""
+    judged = read_table(spark, folder, "qrels").filter("rel > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+    return judged.agg(F.max(F.col("split") == "train").alias("t"), F.max(F.col("split").isin("valid", "test")).alias("h")).filter("t AND h").select("id")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of an evaluation split that are also, exactly or almost, in the training split."""
+    pairs = expand_pairs(*cross_split_overlaps(_records_of_splits(spark, folder)))
+    itself = _judged_in_both(spark, folder).select(F.lit("doc").alias("kind"), F.col("id").alias("id_a"), F.col("id").alias("id_b"))
+    return pairs.select(F.col("space").alias("kind"), "id_a", "id_b").unionByName(itself)
+
+
+P1_FOUND_SQL = """
+WITH r AS (
+  SELECT 'query' AS kind, q.qid AS id, any_value(q.text) AS text, bool_or(split = 'train') AS t, bool_or(split IN ('valid', 'test')) AS h
+  FROM qrels JOIN queries q USING (qid) GROUP BY q.qid
+  UNION ALL
+  SELECT 'doc', d.doc_id, any_value(d.text), bool_or(split = 'train'), bool_or(split IN ('valid', 'test'))
+  FROM qrels JOIN corpus d USING (doc_id) WHERE rel > 0 GROUP BY d.doc_id),
+w AS (SELECT kind, id, t, h, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM r WHERE text IS NOT NULL),
+s AS (SELECT kind, id, t, h, unnest(list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3])))) AS run
+      FROM w WHERE len(w) >= 4),
+n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY kind, id),
+c AS (SELECT a.kind, a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b
+      ON a.kind = b.kind AND a.run = b.run AND a.id < b.id AND ((a.t AND b.h) OR (a.h AND b.t)) GROUP BY a.kind, a.id, b.id)
+SELECT c.kind, c.a AS id_a, c.b AS id_b
+FROM c JOIN n x ON x.kind = c.kind AND x.id = c.a JOIN n y ON y.kind = c.kind AND y.id = c.b
+WHERE c.c / least(x.n, y.n) >= 0.6
+UNION ALL
+SELECT 'doc', doc_id, doc_id FROM qrels WHERE rel > 0 GROUP BY doc_id
+HAVING bool_or(split = 'train') AND bool_or(split IN ('valid', 'test'))
+"""
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per evaluation split and query source: texts, texts found in the training split, and their mean overlap.
+
+    A solution counts for the split and source of each query that it is judged for. Sources are told apart by
+    lower-cased, trimmed name; a missing one is `unknown`.
+    """
+    pairs = expand_pairs(*cross_split_overlaps(_records_of_splits(spark, folder)))
+    itself = _judged_in_both(spark, folder).select(F.lit("doc").alias("space"), F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("overlap"))
+    linked = pairs.select("space", "id_a", "id_b", "overlap").unionByName(itself)
+    best = linked.select("space", F.explode(F.array("id_a", "id_b")).alias("id"), "overlap").groupBy("space", "id").agg(F.max("overlap").alias("overlap"))
+    source = read_table(spark, folder, "queries").select("qid", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("source"))
+    judged = read_table(spark, folder, "qrels").filter("split IN ('valid', 'test')").join(source, "qid")
+    of_query = judged.select("split", "source", F.lit("query").alias("space"), F.col("qid").alias("id"))
+    of_doc = judged.filter("rel > 0").select("split", "source", F.lit("doc").alias("space"), F.col("doc_id").alias("id"))
+    held = of_query.unionByName(of_doc).distinct().join(best, ["space", "id"], "left")
+    shares = held.groupBy("split", "source", F.col("space").alias("kind")).agg(F.count(F.lit(1)).alias("texts"), F.count("overlap").alias("found"), F.round(F.avg("overlap"), 4).alias("mean_overlap"))
+    return shares.withColumn("share_found", F.round(F.col("found") / F.col("texts"), 6))
+
+
+CODE_LETTERS = b"abcdefghijklmnopqrstuvwxyz0123456789_"
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of contents that share most of their text."""
+    contents = read_table(spark, folder, "contents")
+    links = expand_links(*near_duplicate_links(contents, "content_key", "code", 0.7, 3, CODE_LETTERS))
+    return links.select(F.col("a").alias("content_key_a"), F.col("b").alias("content_key_b"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every content with its group of near-duplicates and the number of its links."""
+    return near_duplicate_groups(read_table(spark, folder, "contents"), "content_key", "code", 0.7, 3, CODE_LETTERS)
+
+
+P3_FOUND_SQL = """
+WITH w AS (SELECT content_key, regexp_extract_all(lower(code), '[a-z0-9_]+') AS w FROM contents WHERE code IS NOT NULL),
+s AS (SELECT content_key, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))) AS run
+      FROM w WHERE len(w) >= 3),
+n AS (SELECT content_key, count(*) AS n FROM s GROUP BY content_key),
+c AS (SELECT a.content_key AS a, b.content_key AS b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.content_key < b.content_key
+      GROUP BY a.content_key, b.content_key)
+SELECT c.a AS content_key_a, c.b AS content_key_b
+FROM c JOIN n x ON x.content_key = c.a JOIN n y ON y.content_key = c.b
+WHERE c.c / (x.n + y.n - c.c) >= 0.7
+"""
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The five best snippets of every candidate list."""
     lists = read_table(spark, folder, "candidates")
@@ -30,8 +126,8 @@ QUALIFY row_number() OVER (PARTITION BY run_id, qid, source ORDER BY score DESC,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL}
