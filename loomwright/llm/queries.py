@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_duplicate_links
+from loomwright.llm.normalfusion import fuse_normal_scores, judged_weights
 from loomwright.llm.overlap import cross_split_overlaps, expand_pairs
+from loomwright.llm.packing import fill_containers, fill_report
+from loomwright.llm.tokens import token_counts
 from loomwright.llm.topn import top_n_per_group
 from loomwright.sources.tables import read_table
 
@@ -125,8 +128,34 @@ QUALIFY row_number() OVER (PARTITION BY run_id, qid, source ORDER BY score DESC,
 """
 
 
+def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """One ranking of all snippets of every run and query; sources are weighted by the training split's judgments."""
+    lists = read_table(spark, folder, "candidates")
+    train = read_table(spark, folder, "qrels").filter("split = 'train' AND rel > 0").select("qid", F.col("doc_id").alias("snippet_id"))
+    weights = judged_weights(lists, ["run_id", "qid"], "source", "snippet_id", "score", train, version="scored_at")
+    return fuse_normal_scores(lists, ["run_id", "qid"], "source", "snippet_id", "score", version="scored_at", weights=weights)
+
+
+def _filled(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in containers: each kind alone, and all kinds together as the plan `joint`."""
+    # a small fixed table of capacities, part of the plan like a literal
+    kinds = {r["container_kind"]: r["capacity_tokens"] for r in read_table(spark, folder, "containers").dropna().collect()}
+    sizes = token_counts(read_table(spark, folder, "documents"), "text", ["doc_id"])
+    return fill_containers(sizes, "doc_id", "tokens", {"joint": kinds} | {k: {k: c} for k, c in kinds.items()})
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return _filled(spark, folder)
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers are filled."""
+    return fill_report(_filled(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p5_ranking": p5_ranking, "p8_containers": p8_containers, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
