@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_duplicate_links
+from loomwright.llm.handwritten import foreign_files
+from loomwright.llm.mixing import mix_sources
 from loomwright.llm.normalfusion import fuse_normal_scores, judged_weights
 from loomwright.llm.overlap import cross_split_overlaps, expand_pairs
 from loomwright.llm.packing import fill_containers, fill_report
+from loomwright.llm.subjects import main_subjects, subject_shares
 from loomwright.llm.tokens import token_counts
 from loomwright.llm.topn import top_n_per_group
 from loomwright.sources.tables import read_table
@@ -136,6 +139,20 @@ def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return fuse_normal_scores(lists, ["run_id", "qid"], "source", "snippet_id", "score", version="scored_at", weights=weights)
 
 
+def p7_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences in generated, minified, vendored and data files, with the reason."""
+    of_snapshot = read_table(spark, folder, "snapshots").select("snapshot_id", "repo").distinct()
+    listed = read_table(spark, folder, "memberships").join(of_snapshot, "snapshot_id", "left")
+    # an unfinished snapshot is not listed; its id begins with its repository
+    holders = listed.select(F.coalesce("repo", F.substring_index("snapshot_id", "@", 1)).alias("repo"), "occ_key")
+    return foreign_files(read_table(spark, folder, "occurrences"), read_table(spark, folder, "contents"), holders)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences in files that nobody wrote by hand in their repository."""
+    return p7_files(spark, folder).select("occ_key")
+
+
 def _filled(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in containers: each kind alone, and all kinds together as the plan `joint`."""
     # a small fixed table of capacities, part of the plan like a literal
@@ -154,8 +171,42 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(_filled(spark, folder))
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = read_table(spark, folder, "documents")
+    sizes = token_counts(documents, "text", ["doc_id", "source"])
+    return mix_sources(sizes, "doc_id", "source", "tokens", read_table(spark, folder, "source_weights"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used so that all sources reach their target shares."""
+    return _mixed(spark, folder)[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached, by source."""
+    return _mixed(spark, folder)[1]
+
+
+def _shares(spark: SparkSession, folder: str) -> DataFrame:
+    tables = (read_table(spark, folder, t) for t in ("documents", "subject_labels", "subjects"))
+    return subject_shares(*tables)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects that each document is about."""
+    return main_subjects(_shares(spark, folder)).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """By subject: documents about it, and sentences and code lines that deal with it."""
+    shares = _shares(spark, folder)
+    about = main_subjects(shares).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    lines = shares.groupBy("subject").agg(F.sum("count").alias("units"))
+    return about.join(lines, "subject")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p5_ranking": p5_ranking, "p8_containers": p8_containers, "p8_report": p8_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_files": p7_files, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_composition": p10_composition}
 
 
 def oracle_sql() -> dict[str, str]:
