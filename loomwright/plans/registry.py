@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.plans import version_queries
+from loomwright.plans import corpus_queries, version_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [version_queries]
+MODULES = [version_queries, corpus_queries]
 
 
 def queries() -> dict[str, Query]:

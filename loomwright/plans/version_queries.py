@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions import hashing, text
+from loomwright.operators import extract, indexing, versions
 from loomwright.operators.history import entity_history
 from loomwright.operators.snapshot_diff import snapshot_changes
+from loomwright.plans.sql import bm25_ctes, dense_ctes, hash_ctes, token_ctes
+from loomwright.session import durable
 from loomwright.sources.tables import read_table
 
 
@@ -59,3 +63,275 @@ WHERE a.occs IS DISTINCT FROM b.occs
 
 QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
 ORACLES = {"p2_found": P2_FOUND_SQL, "p6_found": P6_FOUND_SQL}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, and its SQL if given."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+def _tables(spark: SparkSession, d: str, *names: str) -> tuple[DataFrame, ...]:
+    return tuple(read_table(spark, d, n) for n in names)
+
+
+@query("key_content", "SELECT content_key, sha256(code) AS computed FROM contents")
+def key_content(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "contents").select("content_key", hashing.content_key(F.col("code")).alias("computed"))
+
+
+@query("key_occurrence", "SELECT occ_key, sha256(path || chr(0) || symbol || chr(0) || start_line || chr(0) || end_line || chr(0) || content_key) AS computed FROM occurrences")
+def key_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    parts = (F.col(c) for c in ("path", "symbol", "start_line", "end_line", "content_key"))
+    return read_table(spark, d, "occurrences").select("occ_key", hashing.occ_key(*parts).alias("computed"))
+
+
+@query("key_snapshot", "SELECT DISTINCT snapshot_id, repo || '@' || commit_sha[1:12] || ':' || mode AS computed FROM snapshots")
+def key_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "snapshots").select("snapshot_id", hashing.snapshot_id(F.col("repo"), F.col("commit_sha"), F.col("mode")).alias("computed")).distinct()
+
+
+@query("filter_paths", "SELECT DISTINCT path FROM occurrences WHERE regexp_matches(path, '(\\.js|\\.mjs|\\.cjs|\\.jsx)$') AND NOT contains(path, 'node_modules/') AND (starts_with(path, 'lib/') OR starts_with(path, 'src/'))")
+def filter_paths(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "occurrences").select("path").filter(text.is_indexed_path(F.col("path"), ("lib/", "src/"))).distinct()
+
+
+@query("fn_document_text", "SELECT occ_key, path || ' ' || symbol || chr(10) || code AS words FROM occurrences JOIN contents USING (content_key)")
+def fn_document_text(spark: SparkSession, d: str) -> DataFrame:
+    occurrences, contents = _tables(spark, d, "occurrences", "contents")
+    return occurrences.join(contents, "content_key").select("occ_key", text.document_text(F.col("path"), F.col("symbol"), F.col("code")).alias("words"))
+
+
+@query("fn_callees", "SELECT occ_key, array_to_string(list_sort(list_distinct(callees)), ' ') AS callees, to_json(callees) AS json FROM occurrences WHERE callees IS NOT NULL")
+def fn_callees(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "occurrences").filter("callees IS NOT NULL")
+    return rows.select("occ_key", F.array_join(F.array_sort(F.array_distinct("callees")), " ").alias("callees"), F.to_json("callees").alias("json"))
+
+
+KNOWN_SQL = "k AS (SELECT snapshot_id, min(seq) AS seq, any_value(repo) AS repo, any_value(commit_sha) AS commit_sha, any_value(mode) AS mode, any_value(parent_sha) AS parent_sha FROM snapshots GROUP BY snapshot_id)"
+
+
+@query("store_snapshots", f"WITH {KNOWN_SQL} SELECT repo, snapshot_id, seq, commit_sha, parent_sha FROM k WHERE mode = 'incremental'")
+def store_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return versions.snapshot_list(read_table(spark, d, "snapshots")).select("repo", "snapshot_id", "seq", "commit_sha", "parent_sha")
+
+
+@query("store_snapshot_lookup", f"WITH {KNOWN_SQL}, h AS (SELECT repo, commit_sha FROM k WHERE mode = 'incremental' ORDER BY seq DESC, repo LIMIT 1) SELECT snapshot_id, seq FROM k JOIN h USING (repo, commit_sha) WHERE mode = 'incremental'")
+def store_snapshot_lookup(spark: SparkSession, d: str) -> DataFrame:
+    snapshots = read_table(spark, d, "snapshots")
+    head = _head(snapshots)
+    return versions.snapshot_of(snapshots, head["repo"], head["commit_sha"]).select("snapshot_id", "seq")
+
+
+def _head(snapshots: DataFrame):
+    """The last snapshot of the longest history: the argument of queries about one snapshot."""
+    return versions.known_snapshots(snapshots.filter("mode = 'incremental'")).orderBy(F.desc("seq"), "repo").first()
+
+
+@query("store_next_seq", "SELECT repo, mode, CAST(max(seq) + 1 AS INTEGER) AS next_seq FROM snapshots GROUP BY repo, mode")
+def store_next_seq(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "snapshots").groupBy("repo", "mode").agg((F.max("seq") + 1).alias("next_seq"))
+
+
+@query("store_stats", f"""WITH s AS (SELECT DISTINCT repo, snapshot_id, stats FROM snapshots WHERE mode = 'incremental' AND stats IS NOT NULL), f AS (SELECT repo, min(seq) AS first FROM snapshots WHERE mode = 'incremental' GROUP BY repo), {KNOWN_SQL}
+SELECT k.repo, count(*) AS increments, round(avg(s.stats.total_s), 6) AS mean_s, max(s.stats.total_s) AS max_s, CAST(sum(s.stats.files_parsed) AS BIGINT) AS files_parsed FROM s JOIN k USING (snapshot_id) JOIN f ON f.repo = k.repo WHERE k.seq > f.first GROUP BY k.repo""")
+def store_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Times and files of all increments behind the first snapshot of each repository."""
+    rows = read_table(spark, d, "snapshots").filter("mode = 'incremental'")
+    first = rows.groupBy("repo").agg(F.min("seq").alias("first"))
+    stats = rows.filter("stats IS NOT NULL").select("snapshot_id", "stats").distinct()
+    later = versions.known_snapshots(rows).select("snapshot_id", "repo", "seq").join(first, "repo").filter(F.col("seq") > F.col("first"))
+    return later.join(stats, "snapshot_id").groupBy("repo").agg(F.count(F.lit(1)).alias("increments"), F.round(F.avg("stats.total_s"), 6).alias("mean_s"), F.max("stats.total_s").alias("max_s"), F.sum("stats.files_parsed").alias("files_parsed"))
+
+
+@query("store_listing", "SELECT snapshot_id, occ_key, path, symbol, start_line, content_key, length(code) AS size FROM (SELECT DISTINCT snapshot_id, occ_key FROM memberships) JOIN occurrences USING (occ_key) JOIN contents USING (content_key)")
+def store_listing(spark: SparkSession, d: str) -> DataFrame:
+    rows = versions.snapshot_occurrences(*_tables(spark, d, "memberships", "occurrences", "contents"))
+    return rows.select("snapshot_id", "occ_key", "path", "symbol", "start_line", "content_key", F.length("code").cast("long").alias("size"))
+
+
+HISTORY_SQL = f"""{KNOWN_SQL}, h AS (SELECT k.repo, k.seq, k.commit_sha, snapshot_id, occ_key, path, symbol, start_line, content_key FROM (SELECT DISTINCT snapshot_id, occ_key FROM memberships) JOIN k USING (snapshot_id) JOIN occurrences USING (occ_key) WHERE mode = 'incremental'),
+v0 AS (SELECT repo, content_key, first(path ORDER BY seq, path, start_line, occ_key) AS path, first(symbol ORDER BY seq, path, start_line, occ_key) AS symbol, min(seq) AS first_seq,
+  first(commit_sha ORDER BY seq, path, start_line, occ_key) AS first_commit, last(commit_sha ORDER BY seq, commit_sha) AS last_commit, count(DISTINCT snapshot_id) AS n_commits FROM h GROUP BY repo, content_key),
+v AS (SELECT *, count(*) OVER (PARTITION BY repo, path, symbol) AS n_versions FROM v0),
+w AS (SELECT *, lag(first_seq) OVER l AS bs, lag(content_key) OVER l AS bk, lead(first_seq) OVER l AS ns, lead(content_key) OVER l AS nk FROM v WINDOW l AS (PARTITION BY repo, path, symbol ORDER BY first_seq, content_key)),
+near AS (SELECT * EXCLUDE (bs, bk, ns, nk), CASE WHEN bk IS NULL THEN nk WHEN nk IS NULL THEN bk WHEN first_seq - bs <= ns - first_seq THEN bk ELSE nk END AS other FROM w)"""
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return versions.history(*_tables(spark, d, "snapshots", "memberships", "occurrences", "contents"))
+
+
+@query("history_rows", f"WITH {HISTORY_SQL} SELECT repo, seq, commit_sha, occ_key, path, symbol, content_key FROM h WHERE seq BETWEEN 1 AND 5")
+def history_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of the commits with seq 1 to 5 (the range is the feature)."""
+    rows = versions.history(*_tables(spark, d, "snapshots", "memberships", "occurrences", "contents"), seqs=(1, 5))
+    return rows.select("repo", "seq", "commit_sha", "occ_key", "path", "symbol", "content_key")
+
+
+@query("history_contents", f"WITH {HISTORY_SQL} SELECT repo, content_key, path, symbol, first_seq, first_commit, last_commit, n_commits, n_versions FROM v")
+def history_contents(spark: SparkSession, d: str) -> DataFrame:
+    return versions.content_versions(_history(spark, d))
+
+
+@query("history_nearest", f"WITH {HISTORY_SQL} SELECT repo, content_key, path, symbol, other FROM near")
+def history_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return versions.nearest_versions(versions.content_versions(_history(spark, d))).select("repo", "content_key", "path", "symbol", "other")
+
+
+@query("history_diffs")
+def history_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Text differences of nearest versions; SQL has no such function, tests hold it against the standard library."""
+    found = durable(versions.content_versions(_history(spark, d)))
+    return versions.version_diffs(found, read_table(spark, d, "contents"))
+
+
+def search_sql(documents: str, key: str, k: int, depth: int) -> str:
+    """CTEs that end in `hits`(qid, key, score, rank) of fused search; documents has (key, words, code)."""
+    return f"""{token_ctes('wt', documents, key, 'words')}, {token_ctes('ct', documents, key, 'code')}, {token_ctes('qt', 'queries', 'qid', 'text')},
+{hash_ctes('dh', 'ct', key)}, {hash_ctes('qh', 'qt', 'qid')}, {dense_ctes('dense', documents, key, 'queries', 'dh', 'qh', depth)}, {bm25_ctes('lex', documents, key, 'wt', 'qt', k=depth)},
+fused AS (SELECT qid, {key}, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT qid, {key}, rank FROM dense UNION ALL SELECT qid, {key}, rank FROM lex) GROUP BY qid, {key}),
+hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM fused) WHERE rank <= {k})"""
+
+
+HEAD_SQL = f"{KNOWN_SQL}, hd AS (SELECT * FROM k WHERE mode = 'incremental' ORDER BY seq DESC, repo LIMIT 1)"
+
+
+@query("search_snapshot", f"""WITH {HEAD_SQL}, o AS (SELECT * FROM (SELECT DISTINCT occ_key FROM memberships WHERE snapshot_id = (SELECT snapshot_id FROM hd)) JOIN occurrences USING (occ_key) JOIN contents USING (content_key)),
+docs AS (SELECT occ_key, path || ' ' || symbol || chr(10) || code AS words, code FROM o), {search_sql('docs', 'occ_key', 10, 100)}
+SELECT qid, rank, hits.score, occ_key, path, symbol, start_line, content_key FROM hits JOIN o USING (occ_key)""")
+def search_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """All queries against the last snapshot of the longest history."""
+    snapshots, memberships, occurrences, contents, queries = _tables(spark, d, "snapshots", "memberships", "occurrences", "contents", "queries")
+    listed = versions.snapshot_occurrences(memberships, occurrences, contents, F.col("snapshot_id") == _head(snapshots)["snapshot_id"])
+    hits = versions.snapshot_search(durable(listed), queries)
+    return hits.select("qid", "rank", "score", "occ_key", "path", "symbol", "start_line", "content_key")
+
+
+HISTORY_SEARCH_SQL = f"""WITH {HISTORY_SQL}, hd AS (SELECT repo FROM k WHERE mode = 'incremental' ORDER BY seq DESC, repo LIMIT 1), own AS (SELECT * FROM near WHERE repo = (SELECT repo FROM hd)),
+docs AS (SELECT content_key, path || ' ' || symbol || chr(10) || code AS words, code FROM own JOIN contents USING (content_key)), {search_sql('docs', 'content_key', 10, 200)}"""
+
+
+def _history_hits(spark: SparkSession, d: str) -> DataFrame:
+    snapshots, contents, queries = _tables(spark, d, "snapshots", "contents", "queries")
+    rows = _history(spark, d).filter(F.col("repo") == _head(snapshots)["repo"])
+    return versions.history_search(durable(rows), contents, queries)
+
+
+@query("search_history", f"{HISTORY_SEARCH_SQL} SELECT qid, rank, hits.score, content_key, path, symbol, first_commit, last_commit, n_commits, n_versions, other FROM hits JOIN own USING (content_key)")
+def search_history(spark: SparkSession, d: str) -> DataFrame:
+    return _history_hits(spark, d)
+
+
+LABEL_SQL = """l AS (SELECT content_key AS id, qid, symbol, content_key AS gold FROM (SELECT qid, content_key, symbol, row_number() OVER (PARTITION BY content_key ORDER BY qid) AS n FROM hits JOIN own USING (content_key)) WHERE n = 1),
+r AS (SELECT l.id, min(hits.rank) FILTER (hits.content_key = gold) AS history_rank, min(hits.rank) FILTER (own.symbol = l.symbol AND hits.content_key <> gold) AS rival FROM l JOIN hits USING (qid) JOIN own ON own.content_key = hits.content_key GROUP BY l.id)"""
+
+
+@query("versions_ranked", f"{HISTORY_SEARCH_SQL}, {LABEL_SQL} SELECT id, history_rank, rival IS NULL OR history_rank < rival AS version_correct FROM r")
+def versions_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Rank of a gold version for a query: here each found content is the gold one of the first query that finds it."""
+    hits = durable(_history_hits(spark, d))
+    labels = hits.groupBy(F.col("content_key").alias("id")).agg(F.min("qid").alias("qid"), F.min("symbol").alias("symbol"), F.min("content_key").alias("gold"))
+    return versions.version_ranks(labels, hits)
+
+
+@query("versions_summary", f"{HISTORY_SEARCH_SQL}, {LABEL_SQL} SELECT count(*) AS labels, round(avg(1.0::DOUBLE / history_rank), 4) AS mrr, count(*) FILTER (history_rank = 1) AS hit_1, count(*) FILTER (history_rank <= 5) AS hit_5, count(*) FILTER (rival IS NULL OR history_rank < rival) AS version_correct FROM r")
+def versions_summary(spark: SparkSession, d: str) -> DataFrame:
+    return versions.version_summary(versions_ranked(spark, d))
+
+
+PAIRS_SQL = """s AS (SELECT DISTINCT snapshot_id, repo, mode, commit_sha, parent_sha FROM snapshots WHERE mode = 'incremental'),
+p AS (SELECT DISTINCT c.snapshot_id, b.snapshot_id AS parent_id FROM s c JOIN s b ON c.repo = b.repo AND c.parent_sha = b.commit_sha AND c.snapshot_id <> b.snapshot_id),
+m AS (SELECT DISTINCT snapshot_id, path, occ_key FROM memberships JOIN occurrences USING (occ_key)),
+f AS (SELECT snapshot_id, path, string_agg(occ_key, ' ' ORDER BY occ_key) AS digest FROM m GROUP BY snapshot_id, path),
+a AS (SELECT p.snapshot_id, path, digest FROM p JOIN f USING (snapshot_id)), b AS (SELECT p.snapshot_id, path, digest FROM p JOIN f ON f.snapshot_id = parent_id),
+c AS (SELECT snapshot_id, path, CASE WHEN b.digest IS NULL THEN 'A' WHEN a.digest IS NULL THEN 'D' ELSE 'M' END AS status FROM a FULL JOIN b USING (snapshot_id, path) WHERE a.digest IS DISTINCT FROM b.digest)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(snapshot_id, parent_id) of incremental snapshots, and (snapshot_id, path, occ_key) of all listings."""
+    known = read_table(spark, d, "snapshots").filter("mode = 'incremental'").select("snapshot_id", "repo", "commit_sha", "parent_sha").distinct()
+    parents = known.select("repo", F.col("commit_sha").alias("parent_sha"), F.col("snapshot_id").alias("parent_id"))
+    pairs = known.join(parents, ["repo", "parent_sha"]).filter("snapshot_id != parent_id").select("snapshot_id", "parent_id").distinct()
+    return pairs, durable(_listing(spark, d, "path").select("snapshot_id", "path", "occ_key").distinct())
+
+
+def _changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The change feed of every increment, the parent's listing and the own one, under the increment's id."""
+    pairs, listed = _pairs(spark, d)
+    own = listed.join(pairs.select("snapshot_id"), "snapshot_id", "left_semi")
+    before = pairs.join(listed.withColumnRenamed("snapshot_id", "parent_id"), "parent_id").select("snapshot_id", "path", "occ_key")
+
+    def manifest(rows: DataFrame) -> DataFrame:
+        mixed = F.xxhash64("occ_key")
+        return rows.groupBy("snapshot_id", "path").agg(F.struct(F.bit_xor(mixed), F.count(F.lit(1))).alias("digest"))
+
+    return indexing.changes_between(manifest(before), manifest(own), ["snapshot_id"]), before, own
+
+
+@query("index_changes", f"WITH {PAIRS_SQL} SELECT snapshot_id, status, path FROM c")
+def index_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Files added, modified and deleted by every increment."""
+    return _changed(spark, d)[0].select("snapshot_id", "status", F.col("new_path").alias("path"))
+
+
+@query("index_incremental", f"WITH {PAIRS_SQL} SELECT snapshot_id, occ_key FROM m WHERE snapshot_id IN (SELECT snapshot_id FROM p)")
+def index_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Every increment's listing, made of the parent's one and the files changed; the SQL has the full listing."""
+    feed, before, own = _changed(spark, d)
+    feed = durable(feed)
+    dropped = feed.select("snapshot_id", F.col("old_path").alias("path"))
+    extracted = own.join(feed.filter("status != 'D'").select("snapshot_id", F.col("new_path").alias("path")), ["snapshot_id", "path"], "left_semi")
+    return indexing.incremental_listing(before, dropped, extracted, ["snapshot_id"])
+
+
+@query("index_new_occurrences", f"WITH {PAIRS_SQL} SELECT p.snapshot_id, count(*) AS added FROM p JOIN m USING (snapshot_id) WHERE (parent_id, occ_key) NOT IN (SELECT (snapshot_id, occ_key) FROM m) GROUP BY p.snapshot_id")
+def index_new_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    _, before, own = _changed(spark, d)
+    return own.select("snapshot_id", "occ_key").subtract(before.select("snapshot_id", "occ_key")).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("added"))
+
+
+@query("index_full_differs", f"""WITH {KNOWN_SQL}, m AS (SELECT DISTINCT repo, commit_sha, mode, occ_key FROM memberships JOIN k USING (snapshot_id)), b AS (SELECT repo, commit_sha FROM k GROUP BY ALL HAVING count(DISTINCT mode) = 2)
+SELECT repo, commit_sha, count(*) AS differing FROM (SELECT repo, commit_sha, occ_key FROM m JOIN b USING (repo, commit_sha) GROUP BY ALL HAVING count(DISTINCT mode) = 1) GROUP BY repo, commit_sha""")
+def index_full_differs(spark: SparkSession, d: str) -> DataFrame:
+    """Commits whose incremental and full listings differ, with the number of occurrences that only one has."""
+    known = versions.known_snapshots(read_table(spark, d, "snapshots")).select("snapshot_id", "repo", "commit_sha", "mode")
+    both = known.groupBy("repo", "commit_sha").agg(F.count_distinct("mode").alias("n")).filter("n = 2").select("repo", "commit_sha")
+    rows = durable(read_table(spark, d, "memberships").join(known, "snapshot_id").join(both, ["repo", "commit_sha"]).select("repo", "commit_sha", "mode", "occ_key").distinct())
+    one, two = (rows.filter(F.col("mode") == m).drop("mode") for m in ("incremental", "full"))
+    differing = one.exceptAll(two).unionByName(two.exceptAll(one))
+    return differing.groupBy("repo", "commit_sha").agg(F.count(F.lit(1)).alias("differing"))
+
+
+@query("index_numbered_symbols", "SELECT path, CASE WHEN n > 1 THEN symbol || '#' || n ELSE symbol END AS symbol, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY path, symbol ORDER BY start_line, end_line) AS n FROM (SELECT DISTINCT path, symbol, start_line, end_line FROM occurrences))")
+def index_numbered_symbols(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "occurrences").select("path", "symbol", "start_line", "end_line").distinct()
+    return indexing.number_symbols(rows, ["path"])
+
+
+@query("store_missing", "SELECT content_key FROM contents WHERE content_key NOT IN (SELECT content_key FROM occurrences JOIN memberships USING (occ_key))")
+def store_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Contents that no listing uses: what an insert-or-ignore of all contents would add to those in use."""
+    contents, occurrences, memberships = _tables(spark, d, "contents", "occurrences", "memberships")
+    used = occurrences.join(memberships.select("occ_key"), "occ_key", "left_semi")
+    return indexing.missing(contents.select("content_key"), used, "content_key")
+
+
+@query("store_by_keys", "SELECT occ_key, code FROM occurrences JOIN contents USING (content_key) WHERE occ_key IN (SELECT occ_key FROM memberships)")
+def store_by_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of a set of occurrence keys, however many."""
+    contents, occurrences, memberships = _tables(spark, d, "contents", "occurrences", "memberships")
+    return occurrences.join(memberships.select("occ_key"), "occ_key", "left_semi").join(contents, "content_key").select("occ_key", "code")
+
+
+@query("extract_functions")
+def extract_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and callees found in every content; no SQL parses code, tests hold it against fixtures."""
+    files = read_table(spark, d, "contents").select("content_key", F.concat("content_key", F.lit(".js")).alias("path"), F.col("code").alias("source"))
+    return extract.extract_snippets(files, ["content_key"]).select("content_key", "symbol", "start_line", "end_line", "callees")
