@@ -11,18 +11,14 @@ HUMP = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 STOP_WORDS = "the a an of to in and or is are be for on with that this it as by at from you your input output print return if else while def int str".split()
 
 
-def _stop() -> Column:
-    return F.array(*(F.lit(w) for w in STOP_WORDS))
-
-
 def expand(raw: Column) -> Column:
     """The tokens of one raw identifier or number: itself in lower case, and its snake and camel parts if several.
 
     Stop words and parts of one character are left out.
     """
-    whole = F.filter(F.array(F.lower(raw)), lambda t: ~F.array_contains(_stop(), t))
+    whole = F.filter(F.array(F.lower(raw)), lambda t: ~t.isin(STOP_WORDS))
     parts = F.filter(F.split(F.lower(F.regexp_replace(raw, HUMP, "_")), "_"), lambda t: t != "")
-    kept = F.filter(parts, lambda t: ~F.array_contains(_stop(), t) & (F.length(t) > 1))
+    kept = F.filter(parts, lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 1))
     return F.concat(whole, F.when(F.size(parts) > 1, kept).otherwise(F.array().cast("array<string>")))
 
 

@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.tokenize import token_counts
+from loomwright.operators.blocks import best, block_pairs, blocks_of, rounded
 from loomwright.operators.topk import top_k
+from loomwright.session import durable
 
 K1, B, DIGITS = 1.2, 0.75, 6
+POSTINGS_BLOCK, QUERY_BLOCK = 500_000, 1_000
 
 
 def bm25_index(documents: DataFrame, document: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
     """Postings (token, <document>, weight), weight = idf * tf / (tf + k1 (1 - b + b length / mean length)).
 
     idf = ln(1 + (N - df + 1/2) / (df + 1/2)). All documents count for N and the mean length; those without a
-    token, NULL texts among them, have no postings. Document ids are unique.
+    token, NULL texts among them, have no postings. Document ids are unique. Term counts are checkpointed, since lengths,
+    document frequencies and the mean are all taken from them.
     """
-    tf = token_counts(documents, [document], text)
+    tf = durable(token_counts(documents, [document], text))
     lengths = tf.groupBy(document).agg(F.sum("tf").alias("length"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n = documents.agg(F.count(F.lit(1))).scalar()
-    mean = lengths.agg(F.sum("length")).scalar() / n
+    mean = tf.agg(F.sum("tf")).scalar() / n
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("length") / mean)
     return tf.join(lengths, document).join(df, "token").select("token", document, (idf * F.col("tf") / (F.col("tf") + norm)).alias("weight"))
 
 
-def bm25_search(queries: DataFrame, query: str, text: str, postings: DataFrame, document: str, k: int, source: str = "bm25", keep: list[str] | None = None) -> DataFrame:
-    """(keep..., query, source, document, rank, score): the k best documents of each query.
+def _score_block(k: int):
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The k best documents of a block of postings for each query of a block of query terms."""
+        asked, found, scored = [], [], []
+        if len(a) and len(b):
+            ids, document = np.unique(a["d"].to_numpy(), return_inverse=True)
+            token, vocabulary = pd.factorize(a["token"])
+            order = np.argsort(token, kind="stable")
+            document, weight = document[order], a["weight"].to_numpy()[order]
+            begins = np.searchsorted(token[order], np.arange(len(vocabulary) + 1))
+            b = b.assign(at=pd.Index(vocabulary).get_indexer(b["token"])).query("at >= 0").sort_values(["q", "at"], kind="stable")
+            names = b["q"].to_numpy()
+            firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(b) else np.zeros(0, dtype=int)
+            at, tf = b["at"].to_numpy(), b["tf"].to_numpy()
+            scores = np.zeros(len(ids))
+            for first, last in zip(firsts, np.append(firsts[1:], len(b))):
+                scores[:] = 0.0
+                for t, n in zip(at[first:last], tf[first:last]):
+                    span = slice(begins[t], begins[t + 1])
+                    scores[document[span]] += n * weight[span]
+                row = rounded(scores, DIGITS)
+                top = best(row, np.flatnonzero(row > 0), k)
+                asked.append(np.repeat(names[first : first + 1], len(top)))
+                found.append(ids[top])
+                scored.append(row[top])
+        if not asked:
+            return pd.DataFrame({"q": [], "d": [], "score": []})
+        return pd.DataFrame({"q": np.concatenate(asked), "d": np.concatenate(found), "score": np.concatenate(scored)})
+
+    return run
+
+
+def bm25_search(queries: DataFrame, query: str, text: str, postings: DataFrame, document: str, k: int, source: str = "bm25") -> DataFrame:
+    """(query, source, document, rank, score): the k best documents of each query.
 
     A repeated query token counts repeatedly. Only documents that share a token are candidates; scores are rounded to
-    DIGITS before they are ranked, equal ones by document id. `keep` names columns that queries and postings share
-    and must agree on, such as a snapshot.
+    DIGITS before they are ranked, equal ones by document id. Ids must not be NULL.
+
+    Plan: postings are hashed by document into blocks of about POSTINGS_BLOCK, query terms by query, and each pair of
+    blocks adds up the scores of its queries in place. A join of terms with postings would shuffle a row for every
+    query, document and token they share; here only the best k of each block go on.
     """
-    keep = keep or []
-    asked = token_counts(queries, [*keep, query], text)
-    scored = asked.join(postings, [*keep, "token"]).groupBy(*keep, query, document).agg(F.round(F.sum(F.col("tf") * F.col("weight")), DIGITS).alias("score"))
-    ranked = top_k(scored.filter("score > 0"), [*keep, query], "score", document, k)
-    return ranked.select(*keep, query, F.lit(source).alias("source"), document, "rank", "score")
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    asked = token_counts(queries, [query], text).select(F.col(query).alias("q"), "token", "tf")
+    indexed = postings.select(F.col(document).alias("d"), "token", "weight")
+    schema = f"q {asked.schema['q'].dataType.simpleString()}, d {indexed.schema['d'].dataType.simpleString()}, score double"
+    few = block_pairs(indexed, "d", blocks_of(postings.count(), POSTINGS_BLOCK), asked, "q", blocks_of(queries.count(), QUERY_BLOCK), _score_block(k), schema)
+    ranked = top_k(few, ["q"], "score", "d", k)
+    return ranked.select(F.col("q").alias(query), F.lit(source).alias("source"), F.col("d").alias(document), "rank", "score")

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators.blocks import best, block_pairs, blocks_of, rounded
 from loomwright.operators.topk import top_k
 
 DIGITS = 6
-DOCUMENT_BLOCK, QUERY_BLOCK = 20_000, 2_000
+DOCUMENT_BLOCK, QUERY_BLOCK, AT_ONCE = 20_000, 2_000, 256
 
 
 def dense_search(queries: DataFrame, query: str, documents: DataFrame, document: str, vector: str, k: int, source: str = "dense", other_than_self: bool = False) -> DataFrame:
@@ -27,32 +28,25 @@ def dense_search(queries: DataFrame, query: str, documents: DataFrame, document:
         raise ValueError("k must be 1 or more")
     docs = documents.select(F.col(document).alias("d"), F.col(vector).alias("v")).dropna()
     asks = queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).dropna()
-    n_docs = max(1, -(-docs.count() // DOCUMENT_BLOCK))
-    n_asks = max(1, -(-asks.count() // QUERY_BLOCK))
-    left = docs.withColumn("i", F.pmod(F.xxhash64("d"), F.lit(n_docs))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
-    right = asks.withColumn("j", F.pmod(F.xxhash64("q"), F.lit(n_asks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_docs - 1).cast("long"))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
+        asked, found, scored = [], [], []
+        if len(a) and len(b):
+            a = a.sort_values("d", kind="stable")
+            ids, wanted = a["d"].to_numpy(), b["q"].to_numpy()
+            matrix = np.stack(a["v"].to_numpy()).astype(np.float64).T
+            for start in range(0, len(b), AT_ONCE):
+                vectors = np.stack(b["v"].to_numpy()[start : start + AT_ONCE]).astype(np.float64)
+                for q, row in zip(wanted[start : start + AT_ONCE], rounded(vectors @ matrix, DIGITS)):
+                    top = best(row, np.flatnonzero(ids != q) if other_than_self else np.arange(len(ids)), k)
+                    asked.append(np.repeat(np.asarray([q], dtype=wanted.dtype), len(top)))
+                    found.append(ids[top])
+                    scored.append(row[top])
+        if not asked:
             return pd.DataFrame({"q": [], "d": [], "score": []})
-        a = a.sort_values("d", kind="stable")
-        ids = a["d"].to_numpy()
-        matrix = np.stack(a["v"].to_numpy()).astype(np.float64)
-        rows = []
-        for start in range(0, len(b), 256):
-            part = b.iloc[start : start + 256]
-            # halves are rounded away from zero, as Spark and SQL do
-            scores = np.stack(part["v"].to_numpy()).astype(np.float64) @ matrix.T
-            scores = np.sign(scores) * np.floor(np.abs(scores) * 10**DIGITS + 0.5) / 10**DIGITS
-            for asked, row in zip(part["q"].to_numpy(), scores):
-                if other_than_self:
-                    row = np.where(ids == asked, -np.inf, row)
-                best = np.argsort(-row, kind="stable")[:k]
-                best = best[np.isfinite(row[best])]
-                rows.append(pd.DataFrame({"q": asked, "d": ids[best], "score": row[best]}))
-        return pd.concat(rows, ignore_index=True)
+        return pd.DataFrame({"q": np.concatenate(asked), "d": np.concatenate(found), "score": np.concatenate(scored)})
 
     schema = f"q {asks.schema['q'].dataType.simpleString()}, d {docs.schema['d'].dataType.simpleString()}, score double"
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+    near = block_pairs(docs, "d", blocks_of(documents.count(), DOCUMENT_BLOCK), asks, "q", blocks_of(queries.count(), QUERY_BLOCK), run, schema)
     ranked = top_k(near, ["q"], "score", "d", k)
     return ranked.select(F.col("q").alias(query), F.lit(source).alias("source"), F.col("d").alias(document), "rank", "score")
