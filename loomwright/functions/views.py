@@ -51,7 +51,8 @@ def _filtered(text: Column, drop_numeric: bool) -> Column:
 
     # the fold keeps a flag a line, not the lines: a text of many lines isn't copied again and again
     marks = F.aggregate(lines, F.struct(F.lit(False).alias("dropping"), F.lit("").alias("keep")), step)["keep"]
-    kept = F.filter(lines, lambda line, i: F.substr(marks, i + 1, F.lit(1)) == "1")
+    # marks are zipped, not looked up by place: inside of a lambda the whole fold would run again for each line
+    kept = F.filter(F.zip_with(lines, F.split(marks, ""), lambda line, mark: F.when(mark == "1", line)), lambda line: line.isNotNull())
     core = strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
     starter = starter_code(text)
     return F.when(starter != "", strip(F.concat(core, F.lit("\n\n"), starter))).otherwise(core)

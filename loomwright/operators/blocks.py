@@ -39,3 +39,10 @@ def best(scores: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
 
 def blocks_of(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
+
+
+def as_rows(asked: list[np.ndarray], found: list[np.ndarray], scored: list[np.ndarray]) -> pd.DataFrame:
+    """(q, d, score) of parts; as plain objects, since an empty column of strings has no single Arrow array."""
+    if not sum(map(len, scored)):
+        return pd.DataFrame({"q": [], "d": [], "score": []}, dtype=object)
+    return pd.DataFrame({"q": np.concatenate(asked), "d": np.concatenate(found), "score": np.concatenate(scored)})

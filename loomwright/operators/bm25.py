@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.tokenize import token_counts
-from loomwright.operators.blocks import best, block_pairs, blocks_of, rounded
+from loomwright.operators.blocks import as_rows, best, block_pairs, blocks_of, rounded
 from loomwright.operators.topk import top_k
 from loomwright.session import durable
 
@@ -58,9 +58,7 @@ def _score_block(k: int):
                 asked.append(np.repeat(names[first : first + 1], len(top)))
                 found.append(ids[top])
                 scored.append(row[top])
-        if not asked:
-            return pd.DataFrame({"q": [], "d": [], "score": []})
-        return pd.DataFrame({"q": np.concatenate(asked), "d": np.concatenate(found), "score": np.concatenate(scored)})
+        return as_rows(asked, found, scored)
 
     return run
 

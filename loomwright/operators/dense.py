@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.operators.blocks import best, block_pairs, blocks_of, rounded
+from loomwright.operators.blocks import as_rows, best, block_pairs, blocks_of, rounded
 from loomwright.operators.topk import top_k
 
 DIGITS = 6
@@ -42,9 +42,7 @@ def dense_search(queries: DataFrame, query: str, documents: DataFrame, document:
                     asked.append(np.repeat(np.asarray([q], dtype=wanted.dtype), len(top)))
                     found.append(ids[top])
                     scored.append(row[top])
-        if not asked:
-            return pd.DataFrame({"q": [], "d": [], "score": []})
-        return pd.DataFrame({"q": np.concatenate(asked), "d": np.concatenate(found), "score": np.concatenate(scored)})
+        return as_rows(asked, found, scored)
 
     schema = f"q {asks.schema['q'].dataType.simpleString()}, d {docs.schema['d'].dataType.simpleString()}, score double"
     near = block_pairs(docs, "d", blocks_of(documents.count(), DOCUMENT_BLOCK), asks, "q", blocks_of(queries.count(), QUERY_BLOCK), run, schema)

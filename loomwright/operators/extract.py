@@ -354,6 +354,8 @@ def extract_snippets(files: DataFrame, keep: list[str] | None = None) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(*own, *row) for *own, path, source in batch.itertuples(index=False) if path is not None and source is not None for row in extract_functions(path, source.replace("\r\n", "\n"))]
+            if not rows:
+                continue
             yield pd.DataFrame(rows, columns=[*keep, "path", "symbol", "start_line", "end_line", "code", "callees"])
 
     return files.select(*keep, "path", "source").mapInPandas(run, ", ".join(filter(None, [kinds, SCHEMA])))
