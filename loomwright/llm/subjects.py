@@ -157,16 +157,19 @@ def _shares(components, names: list[str]):
     return run
 
 
-def _seeds(counts: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+def _seeds(counts: np.ndarray, labelled: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Anchors (terms x subjects): labelled documents of terms that belong to one subject, or to two.
 
-    A term must be in four labelled documents or more, fewer being chance. A subject that gets less than ten anchors
+    A term belongs to a subject if that is clearly more frequent among its labelled documents than among all (base), so
+    that words everybody uses belong to none. It must be in four of them or more, fewer being chance. A subject that gets less than ten anchors
     so also takes its twenty purest terms of two documents or more.
     """
     purity = counts / (labelled[:, None] + 3.0)
-    top = -np.sort(-purity, axis=1)[:, :2]
+    owns = (purity >= 0.25) & (purity - base >= 0.2 * (1 - base))
+    owned = np.where(owns, purity, 0.0)
+    top = -np.sort(-owned, axis=1)[:, :2]
     bound = (top.sum(1) >= 0.55) & (top[:, 0] >= 0.3)
-    anchors = np.where(bound[:, None] & (purity >= 0.25), counts, 0.0)
+    anchors = np.where(bound[:, None] & owns, counts, 0.0)
     for s in np.flatnonzero((anchors > 0).sum(0) < 10):
         raw = np.where((counts[:, s] >= 2) & (counts[:, s] >= 0.6 * np.maximum(labelled, 1)), purity[:, s], 0.0)
         best = np.argsort(-raw, kind="stable")[:20]
@@ -217,7 +220,10 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     for r in seeds:
         counts[r["at"], names.index(r["subject"])] = r["c"]
         labelled[r["at"]] = r["n"]
-    anchors = _seeds(counts, labelled)
+    held = texts.select("doc_id").join(clean, "doc_id", "left_semi").distinct().count()
+    of_subject = {r["subject"]: r["n"] for r in clean.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = np.array([of_subject.get(n, 0) / max(1, held) for n in names])
+    anchors = _seeds(counts, labelled, np.minimum(base, 1.0))
     if not vocabulary or not anchors.any():
         return spark.createDataFrame([], schema).withColumn("share", F.lit(0.0))
     alive = np.flatnonzero(anchors.any(axis=0))
@@ -231,7 +237,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     h[:, :k] = anchors + 1e-3 * general[:, None] * len(vocabulary)
     h[:, k:] = general[:, None] * (0.5 + random.random((len(vocabulary), BACKGROUND)))
     h[anchors.any(axis=1), k:] = 0.0
-    h /= h.sum(axis=0)
+    h /= np.maximum(h.sum(axis=0), 1e-30)
     encoded = durable(texts.mapInArrow(_encode(spark.sparkContext.broadcast(vocabulary)), f"doc_id {id_type}, terms array<int>, at array<int>, units int"))
     columns = [f"z{z}" for z in range(k + BACKGROUND)]
     for _ in range(rounds):
@@ -242,7 +248,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
         fitted[found["term"].to_numpy()] = found[columns].to_numpy()
         fitted[:, :k] += 2 * anchors
         h = np.where(h > 0, fitted + 1e-6, 0.0)
-        h /= h.sum(axis=0)
+        h /= np.maximum(h.sum(axis=0), 1e-30)
     final = spark.sparkContext.broadcast(h.astype(np.float32))
     shares = encoded.mapInArrow(_shares(final, used), schema)
     return shares.withColumn("share", F.col("count") / F.col("units"))
