@@ -86,3 +86,12 @@ def miss_buckets(report: DataFrame, queries: DataFrame) -> DataFrame:
     examples = cased.withColumn("rank", nth).filter("rank <= 4").groupBy("bucket").agg(F.array_sort(F.collect_list("qid")).alias("examples"))
     counts = cased.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(examples, "bucket").select("bucket", "n", F.round(100 * F.col("n") / total, 1).alias("percent"), "examples")
+
+
+def with_token_lengths(report: DataFrame, queries: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
+    """The report with an encoder's token counts of query and gold document, and whether they exceed its limit.
+
+    queries: (qid, query_tokens), of the raw queries; documents: (gold, gold_tokens). A missing count leaves NULLs.
+    """
+    counted = report.join(queries.select("qid", "query_tokens"), "qid", "left").join(documents.select("gold", "gold_tokens"), "gold", "left")
+    return counted.withColumns({"query_truncated": F.col("query_tokens") > limit, "gold_truncated": F.col("gold_tokens") > limit})
