@@ -14,7 +14,10 @@ from loomwright.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Depth of the registered SQL. The queries themselves look as deep as what they report: see README, deviations.
 DEPTH = 50
+EVALUATION_DEPTH = 200
+SETS_DEPTH = 1000
 
 
 def query(name: str, sql: str | None = None):
@@ -248,12 +251,12 @@ g AS (SELECT tot.qid, total, k, count(nth) AS hits, coalesce(sum(nth / rank), 0)
 SELECT k, round(avg(ap / least(total, k)), 6) AS map, round(avg(hits / k), 6) AS precision, round(avg(hits / total), 6) AS recall, round(avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END), 6) AS hit_rate FROM g GROUP BY k""")
 def metrics_sets(spark: SparkSession, d: str) -> DataFrame:
     postings = bm25.bm25_index(read_table(spark, d, "corpus"), "doc_id", "text")
-    run = bm25.bm25_search(read_table(spark, d, "queries"), "qid", "text", postings, "doc_id", DEPTH)
+    run = bm25.bm25_search(read_table(spark, d, "queries"), "qid", "text", postings, "doc_id", SETS_DEPTH)
     return metrics.set_metrics(run, _judged(spark, d))
 
 
-HYBRID = {"run_id": "hybrid", "split": "train", "retrievers": [{"type": "dense", "model": "hash256"}, {"type": "bm25"}], "fusion": {"method": "rrf", "k": 60}, "depth": DEPTH}
-LEXICAL = {"run_id": "lexical", "split": "train", "retrievers": [{"type": "bm25"}], "fusion": None, "depth": DEPTH}
+HYBRID = {"run_id": "hybrid", "split": "train", "retrievers": [{"type": "dense", "model": "hash256"}, {"type": "bm25"}], "fusion": {"method": "rrf", "k": 60}, "depth": EVALUATION_DEPTH}
+LEXICAL = {"run_id": "lexical", "split": "train", "retrievers": [{"type": "bm25"}], "fusion": None, "depth": EVALUATION_DEPTH}
 
 
 def _evaluated(spark: SparkSession, d: str, config: dict):
