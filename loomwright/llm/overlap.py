@@ -1,4 +1,4 @@
-"""Same or near-same records across splits, by content-defined chunks."""
+"""Same or near-same records across splits, by rare runs of words and content-defined chunks."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from loomwright.llm import wordblocks as wb
 from loomwright.session import durable
 
 WINDOW, DIVISOR = 2, 3
-COMMON_SHARE = 0.2
-LEAST_RARE_SHARE = 0.1
 
 
 def _lists(values: pa.Array, offsets) -> pa.Array:
@@ -27,23 +25,12 @@ def _chunk_batches(window: int, divisor: int, k: int):
             for begin, end in wb.slices(texts):
                 hashes, offsets = wb.word_hashes(texts[begin:end])
                 digests, lengths, at = wb.chunk_sets(hashes, offsets, window, divisor)
+                runs, runs_at = wb.shingle_sets(hashes, offsets, k)
                 words = offsets[1:] - offsets[:-1]
                 rows = batch.slice(begin, end - begin)
                 out = [rows.column(n) for n in ("space", "id", "train", "held")]
-                out += [pa.array(wb.sequence_digests(hashes, offsets)), pa.array(words), _lists(pa.array(digests), at), _lists(pa.array(lengths), at)]
-                yield pa.RecordBatch.from_arrays(out, names=["space", "id", "train", "held", "sequence", "words", "chunks", "lengths"]).filter(pa.array(words >= k))
-
-    return run
-
-
-def _shingle_batches(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in wb.slices(texts):
-                values, at = wb.shingle_sets(*wb.word_hashes(texts[begin:end]), k)
-                rows = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays([rows.column("space"), rows.column("id"), _lists(pa.array(values), at)], names=["space", "id", "runs"])
+                out += [pa.array(wb.sequence_digests(hashes, offsets)), pa.array(words), _lists(pa.array(digests), at), _lists(pa.array(lengths), at), _lists(pa.array(runs), runs_at)]
+                yield pa.RecordBatch.from_arrays(out, names=["space", "id", "train", "held", "sequence", "words", "chunks", "lengths", "runs"]).filter(pa.array(words >= k))
 
     return run
 
@@ -63,45 +50,40 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4,
     the smallest id; they overlap fully, and share the pairs of their representative. So no group of copies is
     expanded into pairs here.
 
-    Method: each record is cut into content-defined chunks. Chunks found on one side alone are dropped. A record's
-    chunks are ordered by how many records have them; the most common ones, up to a share of COMMON_SHARE of its
-    words, are not looked up. The rest are joined with all chunks of records at least as long, and the shared lengths
-    are summed for each pair. At least LEAST_RARE_SHARE of the shorter record must be shared in looked-up chunks: every
-    pair whose chunks share COMMON_SHARE + LEAST_RARE_SHARE of the shorter record is found. With chunks of three words on average,
-    records that share `threshold` of their runs of four words stay well above that (README, problem 1). For the
-    pairs left, chunks and runs are compared exactly.
+    Method: a record with n distinct runs of k words is the smaller of a pair only if the other record has at least
+    `threshold` * n of them, rounded up. So all but that many, less one, of its runs are looked up among all runs of
+    the records with at least as many runs, and none of its pairs can be missed. The runs left out are those that
+    most records have. Runs found on one side alone can't be met and aren't looked up. For the candidates, runs are
+    compared exactly, and so are content-defined chunks, for chunk_overlap.
 
-    Scale: records are read once into a checkpoint of chunk digests. Chunks that very many records share are looked
-    up only by records that consist of such chunks. All joins are on (space, chunk) or (space, id) and can be split
+    Scale: records are read once into a checkpoint of chunk and run digests. Runs that very many records share are
+    looked up only by records that consist of such runs. All joins are on (space, run) or (space, id) and can be split
     by adaptive skew handling; nothing is collected or broadcast by hint.
     """
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("train", "held")]
     source = records.select(F.col("space").cast("string").alias("space"), F.col("id").cast("string").alias("id"), "text", *flags).filter("space IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL AND (train OR held)")
-    schema = "space string, id string, train boolean, held boolean, sequence long, words long, chunks array<long>, lengths array<long>"
+    schema = "space string, id string, train boolean, held boolean, sequence long, words long, chunks array<long>, lengths array<long>, runs array<long>"
     cut = durable(source.mapInArrow(_chunk_batches(window, divisor, k), schema))
     copies = cut.groupBy("space", "sequence", "words").agg(F.min("id").alias("rep"), F.max("train").alias("any_train"), F.max("held").alias("any_held"))
     copies = durable(copies)
     members = cut.select("space", "id", "train", "held", "sequence", "words").join(copies.select("space", "sequence", "words", "rep"), ["space", "sequence", "words"])
     members = members.select("space", "id", F.col("rep").alias("representative"), "train", "held")
 
-    reps = cut.select("space", F.col("id").alias("rep"), "words", "chunks", "lengths").join(copies.select("space", "rep", "any_train", "any_held"), ["space", "rep"])
-    postings = reps.select("space", "rep", "words", "any_train", "any_held", F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("space", "rep", "words", "any_train", "any_held", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length"))
-    common = postings.groupBy("space", "chunk").agg(F.count(F.lit(1)).alias("df"), F.max("any_train").alias("t"), F.max("any_held").alias("h")).filter("t AND h AND df > 1").select("space", "chunk", "df")
-    postings = durable(postings.join(common, ["space", "chunk"]))
-    # the summed length of a chunk and all chunks of the record that are more common
-    behind = F.sum("length").over(Window.partitionBy("space", "rep").orderBy(F.desc("df"), F.desc("chunk")).rowsBetween(Window.unboundedPreceding, 0))
-    rare = postings.withColumn("behind", behind).filter(F.col("behind") >= COMMON_SHARE * F.col("words"))
+    reps = cut.select("space", F.col("id").alias("rep"), "runs").join(copies.select("space", "rep", "any_train", "any_held"), ["space", "rep"])
+    postings = reps.select("space", "rep", F.size("runs").alias("n"), "any_train", "any_held", F.explode("runs").alias("run"))
+    common = postings.groupBy("space", "run").agg(F.count(F.lit(1)).alias("df"), F.max("any_train").alias("t"), F.max("any_held").alias("h")).filter("t AND h AND df > 1").select("space", "run", "df")
+    postings = durable(postings.join(common, ["space", "run"]))
+    place = F.row_number().over(Window.partitionBy("space", "rep").orderBy(F.desc("df"), F.desc("run")))
+    # a trifle less, so that rounding can't ask for a run too many
+    least = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-6))
+    rare = postings.withColumn("place", place).filter(F.col("place") >= least)
     a, b = rare.alias("a"), postings.alias("b")
-    meets = (F.col("a.space") == F.col("b.space")) & (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.rep") != F.col("b.rep")) & (F.col("a.words") <= F.col("b.words")) & ((F.col("a.any_train") & F.col("b.any_held")) | (F.col("a.any_held") & F.col("b.any_train")))
-    shared = F.sum(F.least("a.length", "b.length")).alias("shared")
-    met = a.join(b, meets).groupBy("a.space", F.col("a.rep").alias("x"), F.col("b.rep").alias("y"), F.col("a.words").alias("words")).agg(shared)
-    met = met.filter(F.col("shared") >= LEAST_RARE_SHARE * F.col("words"))
+    meets = (F.col("a.space") == F.col("b.space")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.rep") != F.col("b.rep")) & (F.col("a.n") <= F.col("b.n")) & ((F.col("a.any_train") & F.col("b.any_held")) | (F.col("a.any_held") & F.col("b.any_train")))
+    met = a.join(b, meets).select("a.space", F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
     candidates = durable(met.select("space", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
     needed = candidates.select("space", F.explode(F.array("a", "b")).alias("id")).distinct()
-    runs = source.join(needed, ["space", "id"], "left_semi").select("space", "id", "text").mapInArrow(_shingle_batches(k), "space string, id string, runs array<long>")
-    chunks = cut.join(needed, ["space", "id"], "left_semi").select("space", "id", "words", F.map_from_arrays("chunks", "lengths").alias("chunks"))
-    sides = durable(runs.join(chunks, ["space", "id"]))
+    sides = durable(cut.join(needed, ["space", "id"], "left_semi").select("space", "id", "words", "runs", F.map_from_arrays("chunks", "lengths").alias("chunks")))
     both = candidates
     for s in ("a", "b"):
         both = both.join(sides.select("space", F.col("id").alias(s), F.col("runs").alias(f"runs_{s}"), F.col("chunks").alias(f"chunks_{s}"), F.col("words").alias(f"words_{s}")), ["space", s])

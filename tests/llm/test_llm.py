@@ -68,6 +68,22 @@ def test_cross_split_overlaps_equal_brute_force(spark, seed):
     assert got == want
 
 
+def test_short_and_repetitive_texts_overlap(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        at = rng.randrange(180)
+        rows += [(f"long{i}", " ".join(words), True, False), (f"repeated{i}", " ".join(words[at : at + 14] + ["same"] * 300), False, True)]
+        rows += [(f"part{i}.{n}", " ".join(words[at : at + n]), False, True) for n in (4, 5, 6, 8, 11)]
+    df = spark.createDataFrame([("s", *r) for r in rows], "space string, id string, text string, train boolean, held boolean")
+    sets = {r[0]: shingles(r[1], 4) for r in rows}
+    held = [r[0] for r in rows if r[3]]
+    want = {tuple(sorted((f"long{i}", h))) for i in range(20) for h in held if len(sets[f"long{i}"] & sets[h]) / min(len(sets[f"long{i}"]), len(sets[h])) >= 0.6}
+    assert len(want) == 120
+    assert {(r["id_a"], r["id_b"]) for r in expand_pairs(*cross_split_overlaps(df)).collect()} == want
+
+
 @pytest.mark.parametrize(("threshold", "k"), [(0.7, 3), (0.8, 5), (0.5, 2)])
 def test_near_duplicates_equal_brute_force(spark, threshold, k):
     texts = corpus(7, n=80)
