@@ -69,15 +69,17 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per evaluation split and query source: texts, texts found in the training split, and their mean overlap.
 
     A solution counts for the split and source of each query that it is judged for. Sources are told apart by
-    lower-cased, trimmed name; a missing one is `unknown`.
+    lower-cased, trimmed name; a missing one, or that of a qid that is not
+    in queries, is `unknown`.
     """
     pairs = expand_pairs(*cross_split_overlaps(_records_of_splits(spark, folder)))
     itself = _judged_in_both(spark, folder).select(F.lit("doc").alias("space"), F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("overlap"))
     linked = pairs.select("space", "id_a", "id_b", "overlap").unionByName(itself)
     best = linked.select("space", F.explode(F.array("id_a", "id_b")).alias("id"), "overlap").groupBy("space", "id").agg(F.max("overlap").alias("overlap"))
-    source = read_table(spark, folder, "queries").select("qid", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("source"))
-    judged = read_table(spark, folder, "qrels").filter("split IN ('valid', 'test')").join(source, "qid")
-    of_query = judged.select("split", "source", F.lit("query").alias("space"), F.col("qid").alias("id"))
+    source = read_table(spark, folder, "queries").select("qid", F.lower(F.trim("source")).alias("source"), F.lit(True).alias("known"))
+    judged = read_table(spark, folder, "qrels").filter("split IN ('valid', 'test')").join(source, "qid", "left")
+    judged = judged.withColumn("source", F.coalesce("source", F.lit("unknown")))
+    of_query = judged.filter("known").select("split", "source", F.lit("query").alias("space"), F.col("qid").alias("id"))
     of_doc = judged.filter("rel > 0").select("split", "source", F.lit("doc").alias("space"), F.col("doc_id").alias("id"))
     held = of_query.unionByName(of_doc).distinct().join(best, ["space", "id"], "left")
     shares = held.groupBy("split", "source", F.col("space").alias("kind")).agg(F.count(F.lit(1)).alias("texts"), F.count("overlap").alias("found"), F.round(F.avg("overlap"), 4).alias("mean_overlap"))

@@ -68,6 +68,21 @@ def test_cross_split_overlaps_equal_brute_force(spark, seed):
     assert got == want
 
 
+def test_report_counts_solutions_of_unknown_queries(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(30))
+    tables = {
+        "queries": ([("q1", "one two three four five", " Site "), ("q2", text, None)], "qid string, text string, source string"),
+        "corpus": ([("d1", text), ("d2", text + " more")], "doc_id string, text string"),
+        "qrels": ([("train", "q1", "d1", 1), ("test", "gone", "d2", 1), ("valid", "q2", "d2", 0)], "split string, qid string, doc_id string, rel int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    found = [("doc", "d1", "d2")]
+    assert [tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()] == found
+    report = {(r["split"], r["source"], r["kind"]): (r["texts"], r["found"]) for r in queries.p1_report(spark, str(tmp_path)).collect()}
+    assert report == {("test", "unknown", "doc"): (1, 1), ("valid", "unknown", "query"): (1, 0)}
+
+
 def test_short_and_repetitive_texts_overlap(spark):
     rng = random.Random(8)
     rows = []
