@@ -90,8 +90,8 @@ def _template_end(source: str, at: int) -> int:
 class Extraction:
     """The snippets of one file; positions are places in the token list."""
 
-    def __init__(self, path: str, source: str) -> None:
-        self.path, self.source = path, source
+    def __init__(self, path: str, source: str, module_characters: int | None = None) -> None:
+        self.path, self.source, self.module_characters = path, source, module_characters
         self.tokens = scan(source)
         self.seen: Counter[str] = Counter()
         self.rows: list[tuple] = []
@@ -99,7 +99,7 @@ class Extraction:
     def run(self) -> list[tuple]:
         self.visit(0, len(self.tokens), "")
         if not self.rows and self.source.strip():
-            self.rows.append((self.path, "<module>", 1, self.source.count("\n") + 1, self.source[:MODULE_CHARACTERS], []))
+            self.rows.append((self.path, "<module>", 1, self.source.count("\n") + 1, self.source[: self.module_characters], []))
         return self.rows
 
     def text(self, at: int) -> str:
@@ -337,23 +337,26 @@ class Extraction:
         return self.source[self.tokens[name].start : self.tokens[self.tokens[name].mate if self.text(name) == "[" else name].end]
 
 
-def extract_functions(path: str, source: str) -> list[tuple]:
+def extract_functions(path: str, source: str, module_characters: int | None = MODULE_CHARACTERS) -> list[tuple]:
     """(path, symbol, start_line, end_line, code, callees) of one file, in order. Lines count from 1, both ends included.
 
     Functions in a snippet are not snippets of their own. A file without any, if not blank, is one `<module>` of its first
-    MODULE_CHARACTERS characters. This is a scanner and no full parser: broken sources give what can be told apart.
+    module_characters characters, or of all with None. This is a scanner and no full parser: broken sources give what can be told apart.
     """
-    return Extraction(path, source).run()
+    return Extraction(path, source, module_characters).run()
 
 
 def extract_snippets(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(keep..., path, symbol, start_line, end_line, code, callees) of files (keep..., path, source); NULL sources have none."""
+    """(keep..., path, symbol, start_line, end_line, code, callees) of files (keep..., path, source); NULL sources have none.
+
+    A `<module>` has its whole file, so that content keys tell apart files that differ anywhere.
+    """
     keep = keep or []
     kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*own, *row) for *own, path, source in batch.itertuples(index=False) if path is not None and source is not None for row in extract_functions(path, source.replace("\r\n", "\n"))]
+            rows = [(*own, *row) for *own, path, source in batch.itertuples(index=False) if path is not None and source is not None for row in extract_functions(path, source.replace("\r\n", "\n"), None)]
             if not rows:
                 continue
             yield pd.DataFrame(rows, columns=[*keep, "path", "symbol", "start_line", "end_line", "code", "callees"])

@@ -42,6 +42,12 @@ def test_extraction_of_odd_sources():
     assert len(extract_functions("a.js", "x" * 9000)[0][4]) == 4000
 
 
+def test_modules_are_whole(spark):
+    sources = {"a.js": "x" * 9000 + ";", "b.js": "x" * 9000 + ",y;"}
+    found = extract_snippets(spark.createDataFrame(list(sources.items()), "path string, source string")).collect()
+    assert {r["path"]: (r["symbol"], r["code"]) for r in found} == {p: ("<module>", s) for p, s in sources.items()}
+
+
 def test_extraction_of_tables(spark):
     files = spark.createDataFrame([("r", "a.js", TOOLS), ("r", "b.js", None), ("r", None, "x")], "repo string, path string, source string")
     rows = extract_snippets(files, ["repo"]).collect()
