@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,14 +41,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_written: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder now and return a DataFrame that reads it back.
+    """Write df to the shared checkpoint folder now, as Parquet, and return a DataFrame that reads it back.
 
     Used where a result feeds several branches or an iteration: losing an executor later costs a re-read, not a
-    recomputation, and every branch sees the same rows.
+    recomputation, every branch sees the same rows and reads only its columns, and the optimiser knows the size.
+    The files stay until `release` or the end of the Python process, since the caller's DataFrame may still read them.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables that durable has written, or all but the first `since` of them (see `written`).
+
+    DataFrames that read them can't be used any more: call it when a query's result has been stored or collected.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    gone, _written[since:] = _written[since:], []
+    if gone and spark.sparkContext._jsc is not None:
+        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in gone:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+
+
+def written() -> int:
+    """How many tables durable holds now: a mark to release back to."""
+    return len(_written)
 
 
 _shipped: set[str] = set()
