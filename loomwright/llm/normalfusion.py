@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.ranks import HOT_ROWS, blocked, same
+from loomwright.llm.ranks import running, same
 from loomwright.session import durable
 
+HOT_ROWS = 200_000
+
 # Coefficients of Acklam's published rational approximation of the inverse normal distribution.
 CENTRE_TOP = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
 CENTRE_BOTTOM = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
@@ -32,82 +34,110 @@ def inverse_normal(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.5 - TAIL, centre).when(q < 0, tail).otherwise(-tail)
 
 
-def latest_scores(df: DataFrame, keys: list[str], source: str, item: str, score: str, version: str | None) -> DataFrame:
-    """(k0..., source, item, score): one row per item and list, of the highest version, then the highest score."""
-    named = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(source).alias("source"), F.col(item).alias("item"), F.col(score).cast("double").alias("score"), (F.col(version) if version else F.lit(0)).alias("version"))
-    valid = named.filter(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("score", F.col("score") + F.lit(0.0))
-    ks = [f"k{i}" for i in range(len(keys))]
-    latest = valid.groupBy(*ks, "source", "item").agg(F.max(F.struct("version", "score")).alias("best"))
-    return latest.select(*ks, "source", "item", F.col("best.score").alias("score"))
+def latest_scores(rows: DataFrame, ks: list[str]) -> DataFrame:
+    """(g, ks..., source, item, score): one row per item and list, of the highest version, then the highest score.
+
+    Two hash aggregations of fixed-width buffers: the best score of each version, then that of the highest version. A
+    NULL version counts if an item has no other.
+    """
+    valid = rows.filter(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("score", F.col("score") + F.lit(0.0))
+    one = ["g", *ks, "source", "item"]
+    best = valid.groupBy(*one, "version").agg(F.max("score").alias("score"))
+    latest = best.groupBy(*one).agg(F.max_by("score", "version").alias("latest"), F.max(F.when(F.col("version").isNull(), F.col("score"))).alias("undated"))
+    return latest.select(*one, F.coalesce("latest", "undated").alias("score"))
+
 
+def _named(df: DataFrame, keys: list[str], source: str, item: str, score: str, version: str | None) -> DataFrame:
+    """(g, k0..., source, item, score, version): g is a hash of the group's keys, NULLs included, to sort and join by."""
+    ks = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    g = F.xxhash64(*(part for k in keys for part in (F.col(k).isNull(), F.col(k)))).alias("g")
+    return df.select(g, *ks, F.col(source).alias("source"), F.col(item).alias("item"), F.col(score).cast("double").alias("score"), (F.col(version) if version else F.lit(0)).alias("version"))
 
-def normal_scores(rows: DataFrame, lists: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(lists..., score, z): the normal score of each distinct score of each list.
 
-    A score's percentile is (rank - 1/2) / n, equal scores sharing their mean rank; so a list of equal scores has
-    z = 0 throughout. Rows are counted by (list, score) map-side first; large lists are ranked in blocks.
+def normal_scores(rows: DataFrame, ks: list[str], hot: DataFrame | None) -> DataFrame:
+    """(g, ks..., source, item, z, floor): the normal score of each item in each list of a source, and the list's least.
+
+    rows: _named. A score's percentile is (rank - 1/2) / n, equal scores sharing their mean rank; so a list of equal
+    scores has z = 0 throughout. Rows are shuffled once, by group; lists are sorted there. The lists of `hot` groups
+    are ranked in ranges over all tasks (ranks.running), equal scores counted first.
     """
-    steps = durable(rows.groupBy(*lists, "score").agg(F.count(F.lit(1)).alias("cnt")))
-    part = Window.partitionBy(*lists, "block")
-    cut = blocked(steps, lists, "score", "cnt", hot_rows)
-    upto = F.col("base") + F.sum("cnt").over(part.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.coalesce("whole", F.sum("cnt").over(part))
-    ranked = cut.select(*lists, "score", "cnt", upto.alias("upto"), n.alias("n"))
-    return ranked.select(*lists, "score", inverse_normal((F.col("upto") - F.col("cnt") / 2) / F.col("n")).alias("z"))
+    cold = rows if hot is None else rows.alias("r").join(hot.alias("h"), same(["g", *ks], "r", "h"), "left_anti")
+    lists = Window.partitionBy("g", *ks, "source")
+    below, upto = F.rank().over(lists.orderBy("score")) - 1, F.cume_dist().over(lists.orderBy("score"))
+    ranked = latest_scores(cold.repartition("g"), ks).withColumns({"below": below, "upto": upto})
+    ranked = ranked.withColumns({"n": F.count(F.lit(1)).over(lists), "least": F.min("upto").over(lists)})
+    z = ranked.select("g", *ks, "source", "item", inverse_normal((F.col("below") / F.col("n") + F.col("upto")) / 2).alias("z"), inverse_normal(F.col("least") / 2).alias("floor"))
+    if hot is None:
+        return z
+    own = durable(latest_scores(rows.alias("r").join(hot.alias("h"), same(["g", *ks], "r", "h"), "left_semi"), ks))
+    of_list = ["g", *ks, "source"]
+    steps = running(own.groupBy(*of_list, "score").agg(F.count(F.lit(1)).alias("cnt")), of_list, [F.col("score")], "cnt")
+    steps = durable(steps.select(*of_list, "score", inverse_normal((F.col("upto") - F.col("cnt") / 2) / F.col("whole")).alias("z")))
+    floors = steps.groupBy(*of_list).agg(F.min("z").alias("floor"))
+    back = own.alias("r").join(steps.alias("s"), same([*of_list, "score"], "r", "s")).select("r.*", "z").alias("r").join(floors.alias("f"), same(of_list, "r", "f"))
+    return z.unionByName(back.select(*(f"r.{c}" for c in of_list), "r.item", "r.z", "f.floor"))
+
+
+def judged_weights(z: DataFrame, group: str, judged: DataFrame) -> DataFrame:
+    """(source, weight): the mean normal score that each source gives to judged items, 0 if negative.
+
+    z: normal_scores. judged: (group, item), of which `group` is a key column of z. An item that a list lacks counts
+    like the list's last. Only lists of groups with judged items count; a source without such lists has no row.
+    """
+    ks = [c for c in z.columns if c not in ("source", "item", "z", "floor")]
+    gold = judged.toDF(group, "item").dropna().distinct()
+    due = z.groupBy(*ks, "source").agg(F.first("floor").alias("floor")).join(gold, group)
+    hit = z.drop("floor").join(gold, [group, "item"], "left_semi")
+    scored = due.alias("d").join(hit.alias("h"), same([*ks, "source", "item"], "d", "h"), "left")
+    return scored.groupBy(F.col("d.source").alias("source")).agg(F.greatest(F.lit(0.0), F.round(F.avg(F.coalesce("z", "floor")), 6)).alias("weight"))
 
 
-def fuse_normal_scores(df: DataFrame, keys: list[str], source: str, item: str, score: str, version: str | None = None, weights: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fuse_normal_scores(df: DataFrame, keys: list[str], source: str, item: str, score: str, version: str | None = None, weights: DataFrame | None = None, judged: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys..., item, fused, place): all items of each group of keys in one order.
 
     Each source's list becomes percentiles with averaged ties, then normal scores; fused is their mean, weighted by
-    `weights` (source, weight; 1 if not given there or NULL, below 0 as 0). An item that a source doesn't list counts
-    there like the list's last. place orders by fused (rounded to 9 digits) from high to low, then by item in byte
-    order, a NULL item last. A list whose scores are all equal moves nothing; if no list has weight, fused is 0.
+    `weights` (source, weight; 1 if not given there or NULL, below 0 as 0), or by judged_weights of `judged` (the last
+    of `keys`, item). An item that a source doesn't list counts there like the list's last. place orders by fused
+    (rounded to 9 digits) from high to low, then by item in byte order, a NULL item last. A list whose scores are all
+    equal moves nothing; if no list has weight, fused is 0.
 
     Rows with a NULL or NaN score don't count; of several rows of an item in a list the one of the highest `version`
     does, then of the highest score. NULL keys and sources are values of their own. Infinite scores are ordinary
     ends of the order. Other columns are not looked at. An empty table gives no rows.
 
-    Scale: every step is keyed by (list, score) or (group, item) and pre-aggregated; a list with a third of all rows
-    is ranked in blocks (ranks.blocked), and so is a large fused group. What is broadcast is bounded there.
+    Scale: rows are shuffled by group once for normal scores, which are stored, and once for fusion. Groups of more
+    than hot_rows rows go another way with the same result: every step of it is keyed by (list, score) or (group, item),
+    pre-aggregated, or cut into ranges (ranks.running), so a group with a third of all rows is no task of its own.
     """
     ks = [f"k{i}" for i in range(len(keys))]
-    rows = durable(latest_scores(df, keys, source, item, score, version))
-    z = durable(normal_scores(rows, [*ks, "source"], hot_rows))
-    lists = z.groupBy(*ks, "source").agg(F.min("z").alias("floor"))
-    if weights is not None:
-        w = weights.groupBy(F.col("source").alias("w_source")).agg(F.max("weight").alias("weight"))
-        lists = lists.join(w, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
-        lists = lists.withColumn("weight", F.greatest(F.lit(0.0), F.coalesce(F.col("weight").cast("double"), F.lit(1.0))))
+    group = ["g", *ks]
+    rows = _named(df, keys, source, item, score, version)
+    hot = durable(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(*group))
+    hot = None if hot.isEmpty() else hot
+    z = durable(normal_scores(rows, ks, hot))
+    if judged is not None:
+        weights = judged_weights(z, ks[-1], judged)
+    if weights is None:
+        weighted = z.withColumn("w", F.lit(1.0))
     else:
-        lists = lists.withColumn("weight", F.lit(1.0))
-    lists = durable(lists)
-    totals = lists.groupBy(*ks).agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("floor")).alias("floors"))
-    above = z.alias("z").join(lists.alias("l"), same([*ks, "source"], "z", "l")).select("z.*", ((F.col("z") - F.col("floor")) * F.col("weight")).alias("gain"))
-    gains = rows.alias("r").join(above.alias("g"), same([*ks, "source", "score"], "r", "g")).select("r.*", "gain")
-    items = gains.groupBy(*ks, "item").agg(F.sum("gain").alias("gain"))
-    mean = F.round(F.when(F.col("total") > 0, (F.col("gain") + F.col("floors")) / F.col("total")).otherwise(0.0), 9)
-    fused = durable(items.alias("i").join(totals.alias("t"), same(ks, "i", "t")).select("i.*", (mean + F.lit(0.0)).alias("fused")).drop("gain"))
-    # blocks ascend by value, places descend by score
-    cut = blocked(fused.withColumns({"down": -F.col("fused"), "one": F.lit(1).cast("long")}), ks, "down", "one", hot_rows)
-    place = F.col("base") + F.row_number().over(Window.partitionBy(*ks, "block").orderBy(F.desc("fused"), F.asc_nulls_last("item")))
-    return cut.select(*(F.col(a).alias(k) for a, k in zip(ks, keys)), F.col("item").alias(item), "fused", place.cast("long").alias("place"))
-
-
-def judged_weights(df: DataFrame, keys: list[str], source: str, item: str, score: str, judged: DataFrame, version: str | None = None) -> DataFrame:
-    """(source, weight): the mean normal score that each source gives to judged items, 0 if negative.
-
-    judged: the last of `keys` and `item`, distinct. An item that a list lacks counts like the list's last. Only lists
-    of groups with judged items count; a source without such lists has no row.
-    """
-    ks = [f"k{i}" for i in range(len(keys))]
-    group = ks[-1]
-    gold = judged.select(F.col(keys[-1]).alias(group), F.col(item).alias("item")).distinct()
-    wanted = df.join(judged.select(keys[-1]).distinct(), keys[-1], "left_semi")
-    rows = durable(latest_scores(wanted, keys, source, item, score, version))
-    z = durable(normal_scores(rows, [*ks, "source"]))
-    floors = z.groupBy(*ks, "source").agg(F.min("z").alias("floor"))
-    due = floors.join(gold, group)
-    hit = rows.join(gold, [group, "item"], "left_semi").alias("r").join(z.alias("z"), same([*ks, "source", "score"], "r", "z")).select("r.*", "z.z")
-    scored = due.alias("d").join(hit.alias("h"), same([*ks, "source", "item"], "d", "h"), "left")
-    return scored.groupBy(F.col("d.source").alias("source")).agg(F.greatest(F.lit(0.0), F.round(F.avg(F.coalesce("z", "floor")), 6)).alias("weight"))
+        w = durable(weights.groupBy("source").agg(F.max("weight").cast("double").alias("w")))
+        weighted = z.alias("z").join(w.alias("w"), same(["source"], "z", "w"), "left").select("z.*", F.greatest(F.lit(0.0), F.coalesce("w", F.lit(1.0))).alias("w"))
+    lists = weighted.groupBy(*group, "source").agg(F.first("w").alias("w"), F.first("floor").alias("floor"))
+    totals = lists.groupBy(*group).agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("floor")).alias("floors"))
+
+    def fused(part: DataFrame) -> DataFrame:
+        items = part.groupBy(*group, "item").agg(F.sum(F.col("w") * (F.col("z") - F.col("floor"))).alias("gain"))
+        # equal hashes bring the sides together; the keys decide
+        both = items.alias("i").join(totals.alias("t"), (F.col("i.g") == F.col("t.g")) & same(ks, "i", "t"))
+        mean = F.round(F.when(F.col("total") > 0, (F.col("gain") + F.col("floors")) / F.col("total")).otherwise(0.0), 9)
+        return both.select(*(f"i.{c}" for c in group), "item", (mean + F.lit(0.0)).alias("fused"))
+
+    order = [F.desc("fused"), F.asc_nulls_last("item")]
+    cold = weighted if hot is None else weighted.alias("r").join(hot.alias("h"), same(group, "r", "h"), "left_anti")
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")
+    placed = fused(cold.repartition("g")).withColumn("place", place)
+    if hot is not None:
+        large = fused(weighted.alias("r").join(hot.alias("h"), same(group, "r", "h"), "left_semi"))
+        large = running(large.withColumn("one", F.lit(1).cast("long")), group, order, "one")
+        placed = placed.unionByName(large.select(*group, "item", "fused", F.col("upto").alias("place")))
+    return placed.select(*(F.col(a).alias(k) for a, k in zip(ks, keys)), F.col("item").alias(item), "fused", "place")

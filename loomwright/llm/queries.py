@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_duplicate_links
 from loomwright.llm.handwritten import foreign_files
 from loomwright.llm.mixing import mix_sources
-from loomwright.llm.normalfusion import fuse_normal_scores, judged_weights
+from loomwright.llm.normalfusion import fuse_normal_scores
 from loomwright.llm.overlap import cross_split_overlaps, expand_pairs
 from loomwright.llm.packing import fill_containers, fill_report
 from loomwright.llm.subjects import main_subjects, subject_shares
@@ -137,8 +137,7 @@ def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """One ranking of all snippets of every run and query; sources are weighted by the training split's judgments."""
     lists = read_table(spark, folder, "candidates")
     train = read_table(spark, folder, "qrels").filter("split = 'train' AND rel > 0").select("qid", F.col("doc_id").alias("snippet_id"))
-    weights = judged_weights(lists, ["run_id", "qid"], "source", "snippet_id", "score", train, version="scored_at")
-    return fuse_normal_scores(lists, ["run_id", "qid"], "source", "snippet_id", "score", version="scored_at", weights=weights)
+    return fuse_normal_scores(lists, ["run_id", "qid"], "source", "snippet_id", "score", version="scored_at", judged=train)
 
 
 def p7_files(spark: SparkSession, folder: str) -> DataFrame:

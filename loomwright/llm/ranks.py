@@ -1,4 +1,4 @@
-"""Positions within groups when one group may hold a large part of all rows."""
+"""Running sums within groups when one group may hold a large part of all rows."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_HOT_GROUPS = 1000
-CUTS = 64
-HOT_ROWS = 200_000
+from loomwright.session import durable
+
+ROWS_PER_BLOCK = 1_000_000
 
 
 def same(keys: list[str], left: str, right: str) -> Column:
@@ -17,27 +17,19 @@ def same(keys: list[str], left: str, right: str) -> Column:
     return reduce(lambda c, k: c & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")), keys, F.lit(True))
 
 
-def blocked(df: DataFrame, keys: list[str], value: str, weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """df with `block`, `base` and `whole`: groups cut into blocks of ascending value.
+def running(df: DataFrame, keys: list[str], order: list[Column], weight: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """df with `upto`, the sum of weight in the row's group up to this row in the order, and `whole`, that of the group.
 
-    base is the summed weight of the group's lower blocks, whole that of the group. Rows of equal value share a block.
-    A group of up to max(hot_rows, rows / MOST_HOT_GROUPS) rows is one block, with a NULL `whole`, to be summed by the
-    caller's window over (keys, block). So there are at most MOST_HOT_GROUPS larger groups, and the tables of their
-    cuts and block weights, which are broadcast, have at most MOST_HOT_GROUPS * (CUTS + 1) rows whatever the input's size.
-    df is read several times and should be a checkpoint.
+    The order has to tell rows of a group apart. All rows are cut by (keys, order) into ranges of about rows_per_block
+    rows, so a group of any size is spread over as many tasks as it needs and small groups share one. A range's rows
+    are summed up by itself; what a group has in lower ranges is taken from a table of (range, group) sums, of which a
+    group has at most one a range. Nothing is collected, broadcast or joined on the group alone.
     """
-    limit = max(hot_rows, df.count() // MOST_HOT_GROUPS)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(*keys)
-    if hot.isEmpty():
-        return df.select("*", F.lit(0).alias("block"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("whole"))
-    shares = [i / CUTS for i in range(1, CUTS)]
-    of_hot = df.alias("d").join(F.broadcast(hot).alias("h"), same(keys, "d", "h"), "left_semi")
-    cuts = of_hot.groupBy(*keys).agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), 10_000).alias("cuts"))
-    cut = df.alias("d").join(F.broadcast(cuts).alias("c"), same(keys, "d", "c"), "left")
-    below = F.size(F.filter("cuts", lambda c: c < F.col(f"d.{value}")))
-    rows = cut.select("d.*", F.when(F.col("cuts").isNull(), 0).otherwise(below).alias("block"), F.col("cuts").isNotNull().alias("hot"))
+    ranges = max(1, -(-df.count() // rows_per_block))
+    cut = durable(df.repartitionByRange(ranges, *map(F.col, keys), *order).withColumn("range", F.spark_partition_id()))
     group = Window.partitionBy(*keys)
-    sums = rows.filter("hot").groupBy(*keys, "block").agg(F.sum(weight).alias("w"))
-    sums = sums.select(*keys, "block", F.sum("w").over(group).alias("whole"), (F.sum("w").over(group.orderBy("block")) - F.col("w")).alias("base"))
-    placed = rows.alias("d").join(F.broadcast(sums).alias("s"), same([*keys, "block"], "d", "s"), "left")
-    return placed.select("d.*", F.coalesce("s.base", F.lit(0)).alias("base"), F.col("s.whole").alias("whole")).drop("hot")
+    sums = cut.groupBy(*keys, "range").agg(F.sum(weight).alias("w"))
+    sums = sums.select(*keys, "range", F.sum("w").over(group).alias("whole"), (F.sum("w").over(group.orderBy("range")) - F.col("w")).alias("lower"))
+    own = F.sum(weight).over(Window.partitionBy("range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = cut.withColumn("own", own).alias("d").join(sums.alias("s"), same(["range", *keys], "d", "s"))
+    return placed.select(*(F.col(f"d.{c}").alias(c) for c in df.columns), (F.col("own") + F.col("lower")).alias("upto"), "whole")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomwright.llm import mixing, packing, queries, wordblocks
 from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_duplicate_links
 from loomwright.llm.handwritten import code_kind, foreign_files
-from loomwright.llm.normalfusion import fuse_normal_scores, inverse_normal, judged_weights
+from loomwright.llm.normalfusion import _named, fuse_normal_scores, inverse_normal, judged_weights, normal_scores
 from loomwright.llm.overlap import cross_split_overlaps, expand_pairs
 from loomwright.llm.subjects import main_subjects, subject_shares, units_of
 from loomwright.llm.tokens import token_counts
@@ -180,7 +180,7 @@ def test_normal_fusion_equals_brute_force(spark, hot_rows):
             total = sum(w[s] for s in own)
             fused = {i: sum(w[s] * z[g, s].get(i, min(z[g, s].values())) for s in own) / total for i in items}
             want[g] = fused
-        got = fuse_normal_scores(df, ["g"], "source", "item", "score", "version", frame, hot_rows).collect()
+        got = fuse_normal_scores(df, ["g"], "source", "item", "score", "version", frame, None, hot_rows).collect()
         assert len(got) == sum(map(len, want.values()))
         for r in got:
             assert r["fused"] == pytest.approx(want[r["g"]][r["item"]], abs=1e-6)
@@ -201,7 +201,7 @@ def test_judged_weights_prefer_good_sources(spark):
     rows = [("q", "good", f"i{i}", float(-i), 1) for i in range(9)] + [("q", "bad", f"i{i}", float(i), 1) for i in range(9)]
     df = spark.createDataFrame(rows, "qid string, source string, item string, score double, v int")
     judged = spark.createDataFrame([("q", "i0")], "qid string, item string")
-    got = {r["source"]: r["weight"] for r in judged_weights(df, ["qid"], "source", "item", "score", judged).collect()}
+    got = {r["source"]: r["weight"] for r in judged_weights(normal_scores(_named(df, ["qid"], "source", "item", "score", None), ["k0"], None), "k0", judged).collect()}
     assert got["good"] > 1 and got["bad"] == 0.0
 
 
