@@ -30,7 +30,7 @@ def _chunk_batches(window: int, divisor: int, k: int):
                 rows = batch.slice(begin, end - begin)
                 out = [rows.column(n) for n in ("space", "id", "train", "held")]
                 out += [pa.array(wb.sequence_digests(hashes, offsets)), pa.array(words), _lists(pa.array(digests), at), _lists(pa.array(lengths), at), _lists(pa.array(runs), runs_at)]
-                yield pa.RecordBatch.from_arrays(out, names=["space", "id", "train", "held", "sequence", "words", "chunks", "lengths", "runs"]).filter(pa.array(words >= k))
+                yield pa.RecordBatch.from_arrays(out, names=["space", "id", "train", "held", "sequence", "words", "chunks", "lengths", "runs"])
 
     return run
 
@@ -40,8 +40,8 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4,
 
     records: (space, id, text, train, held): only records of one `space` are compared; id is unique in its space;
     `train` and `held` tell whether the record is in the training split, in an evaluation split, or both. Rows in
-    neither, with a NULL flag counting as false, with a NULL space or id, or with fewer than k words (NULL and empty
-    texts among them) are in no pair. Other columns are not looked at. Empty tables give no rows.
+    neither, with a NULL flag counting as false, or with a NULL space or id, are left out; those with fewer than k words
+    (NULL and empty texts among them) are in no pair. Other columns are not looked at. Empty tables give no rows.
 
     Returns (pairs, members). pairs: (space, a, b, chunk_overlap, overlap), a < b, of representatives of records
     whose word sequences differ; overlap is the number of common runs of k words divided by the size of the smaller
@@ -50,7 +50,9 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4,
     the smallest id; they overlap fully, and share the pairs of their representative. So no group of copies is
     expanded into pairs here.
 
-    Method: a record with n distinct runs of k words is the smaller of a pair only if the other record has at least
+    Method: records are cut by content, chunks' digests are joined across the splits, and the lengths of shared chunks
+    are summed up per record. That tells how much of a record is in the other split, but chunks prove no pair: an edit
+    in every chunk hides one. So for pairs the cut is as fine as it can be, behind every word: a record with n distinct runs of k words is the smaller of a pair only if the other record has at least
     `threshold` * n of them, rounded up. So all but that many, less one, of its runs are looked up among all runs of
     the records with at least as many runs, and none of its pairs can be missed. The runs left out are those that
     most records have. Runs found on one side alone can't be met and aren't looked up. For the candidates, runs are
@@ -61,15 +63,17 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4,
     by adaptive skew handling; nothing is collected or broadcast by hint.
     """
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("train", "held")]
-    source = records.select(F.col("space").cast("string").alias("space"), F.col("id").cast("string").alias("id"), "text", *flags).filter("space IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL AND (train OR held)")
+    source = records.select(F.col("space").cast("string").alias("space"), F.col("id").cast("string").alias("id"), "text", *flags).filter("space IS NOT NULL AND id IS NOT NULL AND (train OR held)")
     schema = "space string, id string, train boolean, held boolean, sequence long, words long, chunks array<long>, lengths array<long>, runs array<long>"
     cut = durable(source.mapInArrow(_chunk_batches(window, divisor, k), schema))
-    copies = cut.groupBy("space", "sequence", "words").agg(F.min("id").alias("rep"), F.max("train").alias("any_train"), F.max("held").alias("any_held"))
-    copies = durable(copies)
-    members = cut.select("space", "id", "train", "held", "sequence", "words").join(copies.select("space", "sequence", "words", "rep"), ["space", "sequence", "words"])
-    members = members.select("space", "id", F.col("rep").alias("representative"), "train", "held")
-
-    reps = cut.select("space", F.col("id").alias("rep"), "runs").join(copies.select("space", "rep", "any_train", "any_held"), ["space", "rep"])
+    long = cut.filter(F.size("runs") > 0)
+    copies = durable(long.groupBy("space", "sequence", "words").agg(F.min("id").alias("rep"), F.max("train").alias("any_train"), F.max("held").alias("any_held")))
+    parts = cut.select("space", "id", "train", "held", "sequence", "words", F.size("runs").alias("n")).join(copies.select("space", "sequence", "words", F.col("rep").alias("representative")), ["space", "sequence", "words"], "left")
+    shares = _shared(cut, F.arrays_zip(F.col("chunks").alias("part"), F.col("lengths").alias("length")), "chunk_length").join(_shared(cut, F.transform("runs", lambda r: F.struct(r.alias("part"), F.lit(1).cast("long").alias("length"))), "run_length"), ["space", "id"], "full")
+    share = [F.coalesce(F.round(F.col(f"{c}_length") / F.col(of), 9), F.lit(0.0)).alias(f"{c}_share") for c, of in (("chunk", "words"), ("run", "n"))]
+    members = parts.join(shares, ["space", "id"], "left").select("space", "id", F.when(F.col("n") > 0, F.col("representative")).alias("representative"), "train", "held", *share)
+
+    reps = long.select("space", F.col("id").alias("rep"), "runs").join(copies.select("space", "rep", "any_train", "any_held"), ["space", "rep"])
     postings = reps.select("space", "rep", F.size("runs").alias("n"), "any_train", "any_held", F.explode("runs").alias("run"))
     common = postings.groupBy("space", "run").agg(F.count(F.lit(1)).alias("df"), F.max("any_train").alias("t"), F.max("any_held").alias("h")).filter("t AND h AND df > 1").select("space", "run", "df")
     postings = durable(postings.join(common, ["space", "run"]))
@@ -95,11 +99,37 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4,
     return pairs, members
 
 
-def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _shared(cut: DataFrame, parts, name: str) -> DataFrame:
+    """(space, id, name): the summed length of each record's parts that another record of the training split has."""
+    each = cut.select("space", "id", "train", F.explode(parts).alias("p")).select("space", "id", "train", "p.part", "p.length")
+    known = each.filter("train").groupBy("space", "part").agg(F.count(F.lit(1)).alias("n"))
+    met = each.join(known, ["space", "part"]).filter("NOT train OR n > 1")
+    return met.groupBy("space", "id").agg(F.sum("length").alias(name))
+
+
+def held_overlaps(pairs: DataFrame, members: DataFrame, itself: tuple[str, ...] = ()) -> DataFrame:
+    """(space, id, overlap, chunk_share): how much each record of an evaluation split overlaps with the training split.
+
+    overlap is the largest with another training record, NULL below the threshold; 1 for a record of a space in `itself`
+    that is in the training split too. Copies are counted by their groups and never paired.
+    """
+    groups = members.filter("representative IS NOT NULL").groupBy("space", "representative").agg(F.count_if("train").alias("trained"))
+    ways = pairs.select("space", F.col("a").alias("representative"), F.col("b").alias("other"), "overlap").unionByName(pairs.select("space", F.col("b").alias("representative"), F.col("a").alias("other"), "overlap"))
+    trained = groups.filter("trained > 0").select("space", F.col("representative").alias("other"))
+    best = ways.join(trained, ["space", "other"], "left_semi").groupBy("space", "representative").agg(F.max("overlap").alias("near"))
+    each = members.filter("held").join(groups, ["space", "representative"], "left").join(best, ["space", "representative"], "left")
+    copy = (F.col("trained") > F.col("train").cast("int")) | (F.col("space").isin(*itself) & F.col("train"))
+    return each.select("space", "id", F.when(copy, 1.0).otherwise(F.col("near")).alias("overlap"), "chunk_share")
+
+
+def expand_pairs(pairs: DataFrame, members: DataFrame, itself: tuple[str, ...] = ()) -> DataFrame:
     """All (space, id_a, id_b, overlap, chunk_overlap), id_a < id_b, of a training and an evaluation record.
 
-    The pairs of representatives and the copies inside each group, expanded: as many rows as there are such pairs.
+    The pairs of representatives and the copies inside each group, expanded: as many rows as there are such pairs. In
+    the spaces of `itself` a record of both splits is a pair with itself, whatever its text.
     """
+    alone = members.filter(F.col("space").isin(*itself) & F.col("train") & F.col("held")).select("space", F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("chunk_overlap"))
+    members = members.filter("representative IS NOT NULL")
     own = members.select("space", F.col("representative").alias("a"), F.col("representative").alias("b")).distinct().select("space", "a", "b", F.lit(1.0).alias("chunk_overlap"), F.lit(1.0).alias("overlap"))
     # a group held by one side alone has no pairs inside
     mixed = members.groupBy("space", "representative").agg(F.max("train").alias("t"), F.max("held").alias("h"), F.count(F.lit(1)).alias("n")).filter("t AND h AND n > 1").select("space", F.col("representative").alias("a"))
@@ -108,4 +138,4 @@ def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     for s in ("a", "b"):
         both = both.join(members.select("space", F.col("representative").alias(s), F.col("id").alias(f"id_{s}"), F.col("train").alias(f"train_{s}"), F.col("held").alias(f"held_{s}")), ["space", s])
     crossing = both.filter("id_a != id_b AND ((train_a AND held_b) OR (held_a AND train_b))")
-    return crossing.select("space", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "overlap", "chunk_overlap").distinct()
+    return crossing.select("space", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "overlap", "chunk_overlap").distinct().unionByName(alone)

@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from brute_units import units_of
 from oracle import check
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from loomwright.llm import mixing, packing, queries, wordblocks
 from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_duplicate_links
 from loomwright.llm.handwritten import code_kind, foreign_files
 from loomwright.llm.normalfusion import _named, fuse_normal_scores, inverse_normal, judged_weights, normal_scores
-from loomwright.llm.overlap import cross_split_overlaps, expand_pairs
-from loomwright.llm.subjects import main_subjects, subject_shares, units_of
+from loomwright.llm.overlap import cross_split_overlaps, expand_pairs, held_overlaps
+from loomwright.llm.subjects import main_subjects, subject_shares
 from loomwright.llm.tokens import token_counts
 from loomwright.llm.topn import top_n_per_group
 
@@ -326,6 +327,78 @@ def test_units():
     assert units_of("Only a heading") == [["only", "a", "heading"]] and units_of("12\n") == []
 
 
+def test_units_equal_regular_expressions():
+    from loomwright.llm.units import term_hash, unit_terms
+
+    rng = random.Random(4)
+    bits = ["A word. ", "aBcD HTTPServer x1y _foo\n", 'He said "no." Then) .) left', "return x", "returned", "\r\n", "12 3\t", "## Head", "über Größe!", "x = f(y);", " ", "\x00", "日本 語. ", "😀 a"]
+    texts = [None, "", "12\n", "Only a heading"] + ["".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(300)]
+    terms, places, offsets, units = unit_terms(texts)
+    for i, text in enumerate(texts):
+        want = units_of((text or "").replace("\x00", " "))
+        assert units[i] == len(want)
+        got = set(zip(places[offsets[i] : offsets[i + 1]].tolist(), terms[offsets[i] : offsets[i + 1]].tolist()))
+        assert got == {(n, term_hash(w)) for n, unit in enumerate(want) for w in unit}
+    assert all(len(x) == 0 for x in unit_terms([None, " "])[:2])
+
+
+def test_repeated_and_missing_ids_are_spread(spark):
+    from loomwright.llm.tokens import numbered
+
+    rows = spark.createDataFrame([(None, 5)] * 700 + [(1, 7)] * 300 + [(2, 3)], "doc_id long, tokens long")
+    got = numbered(rows, ["doc_id", "tokens"]).collect()
+    assert len(got) == len({r["row"] for r in got}) == 1001
+    assert Counter((r["doc_id"], r["tokens"]) for r in got) == {(None, 5): 700, (1, 7): 300, (2, 3): 1}
+    filled = packing.fill_containers(rows, "doc_id", "tokens", {"a": {"small": 32}}, per_shard=100).collect()
+    used = Counter()
+    for r in filled:
+        used[r["container"]] += r["tokens"]
+    assert max(used.values()) <= 32 and sum(used.values()) == 700 * 5 + 300 * 7 + 3
+    assert len({c.split("-")[2] for c in used if c.startswith("a-0-")}) > 5
+    at_once = packing.pack(np.array([5] * 700 + [7] * 300 + [3]), [32])[1]
+    assert len(used) <= 1.02 * len(at_once)
+    source = rows.withColumn("source", F.lit("s"))
+    weights = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    mix, report = mixing.mix_sources(source, "doc_id", "source", "tokens", weights, total=2800, per_shard=50)
+    assert abs(report.first()["drawn"] - 2800) <= 7 and mix.count() > 300
+
+
+def test_renamed_copies_and_repeated_shapes(spark):
+    def function(name, seed):
+        rng = random.Random(seed)
+        return f"function {name}() {{\n" + "".join(f"  {rng.choice(['const', 'let'])} a{rng.randrange(10**6)} = other.step{rng.randrange(10**6)}(value{i});\n" for i in range(9)) + "}"
+
+    contents = [(f"k{i}", function(f"f{i}", i)) for i in range(8)]
+    occurrences = [("o1", "k1", "a/kit.js", "f1"), ("o2", "k2", "a/kit.js", "f2"), ("o3", "k1", "b/other.js", "f1"), ("o4", "k2", "b/other.js", "f2"), ("o5", "k3", "c/mine.js", "f3"), ("o6", "k4", "c/mine.js", "f4"), ("o7", "k3", "d/big.js", "f3"), ("o8", "k5", "d/big.js", "f5"), ("o9", "k6", "d/big.js", "f6")]
+    holders = [(r, f"o{i}") for r, own in (("r1", (1, 2)), ("r2", (3, 4)), ("r3", (5, 6)), ("r4", (7, 8, 9))) for i in own]
+    tables = spark.createDataFrame(occurrences, "occ_key string, content_key string, path string, symbol string"), spark.createDataFrame(contents, "content_key string, code string"), spark.createDataFrame(holders, "repo string, occ_key string")
+    assert {r["occ_key"] for r in foreign_files(*tables).collect()} == {"o1", "o2", "o3", "o4"}
+    printed = "x.encode = function encode(m, w) {\n" + "".join(f"  if (m.f{i} != null) w.uint32({i}).string(m.f{i});\n" for i in range(8)) + "};"
+    assert code_kind(printed) == "generated"
+
+
+def test_shares_of_records_equal_brute_force(spark):
+    texts = corpus(11, 40)
+    rng = random.Random(2)
+    rows = [("s", f"i{i}", t, rng.random() < 0.5, rng.random() < 0.6) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "space string, id string, text string, train boolean, held boolean")
+    pairs, members = cross_split_overlaps(df)
+    got = {r["id"]: r for r in members.collect()}
+    assert set(got) == {r[1] for r in rows if r[3] or r[4]}
+    for _, i, t, train, held in rows:
+        if train or held:
+            own = shingles(t, 4)
+            others = set().union(*(shingles(x[2], 4) for x in rows if x[3] and x[1] != i))
+            assert got[i]["run_share"] == pytest.approx(len(own & others) / len(own) if own else 0.0, abs=1e-8)
+            assert 0 <= got[i]["chunk_share"] <= 1 and (own - others or not own or got[i]["chunk_share"] == 1)
+    best = {r["id"]: r["overlap"] for r in held_overlaps(pairs, members).collect()}
+    for _, i, t, _, held in rows:
+        if held:
+            near = [len(shingles(t, 4) & shingles(x[2], 4)) / min(len(shingles(t, 4)), len(shingles(x[2], 4))) for x in rows if x[3] and x[1] != i and shingles(t, 4) and shingles(x[2], 4)]
+            want = max([n for n in near if n >= 0.6], default=None)
+            assert best[i] == (want if want is None else pytest.approx(want))
+
+
 def test_token_counts_round_trip(spark):
     from loomwright.llm.tokens import TOKENIZERS, encoding
 
