@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm.tokens import numbered
 from loomwright.session import durable
 
 PER_SHARD = 50_000
@@ -68,8 +69,8 @@ def mix_sources(items: DataFrame, item: str, source: str, size: str, weights: Da
     items: (item, source, size). weights: (source, target_share, max_repeats). Source names are compared by plain
     spelling. Shares are taken relative to their sum; of several rows of one source the shares add up and the largest
     max_repeats counts; a NULL max_repeats is 1; rows with a NULL source or share, or a share of 0 or less, are left out.
-    Items of no or an unlisted source, and those of size NULL or 0 or less, are never drawn. Repeated rows are items of
-    their own. Other columns are not looked at. Empty tables give no rows.
+    Items of no or an unlisted source, and those of size NULL or 0 or less, are never drawn. Repeated rows, and rows
+    with a NULL item, are items of their own, each drawn by itself. Other columns are not looked at. Empty tables give no rows.
 
     total is the size of the mixture. By default it is the largest at which every source that has items reaches its share
     without exceeding its cap. A source that is too small for a given total is repeated as often as its cap allows; its
@@ -83,9 +84,10 @@ def mix_sources(items: DataFrame, item: str, source: str, size: str, weights: Da
     probability of one more copy, rounded by pivotal sampling over sizes: so each item keeps its expectation, and the
     source's size is kept exactly but for one last item. Shards of about per_shard items are rounded each by itself
     and leave one fractional item at most, as a rule a small one, since items go from large to small; these are rounded FAN_IN shards at a time, in a tree, until one is left,
-    which is drawn. Draws depend on seed and ids alone, not on how tasks are cut, so a lost task repeats them.
+    which is drawn. Draws depend on seed, ids, sizes and the number of an item among equal rows, not on how tasks are cut, so a lost
+    task repeats them.
 
-    Scale: sizes are summed map-side; shards are bounded however large one source is. The tables of sources are as
+    Scale: sizes are summed map-side; shards are bounded however large one source is, and however many rows have one id. The tables of sources are as
     small as `weights`.
     """
     due = (
@@ -97,7 +99,7 @@ def mix_sources(items: DataFrame, item: str, source: str, size: str, weights: Da
     every = Window.partitionBy()
     due = due.withColumn("share", F.col("share") / F.sum("share").over(every))
     sized = items.select(F.col(item).alias("item"), plain(F.col(source)).alias("source"), F.col(size).cast("long").alias("tokens")).filter("tokens > 0 AND source IS NOT NULL")
-    sized = durable(sized)
+    sized = durable(numbered(sized, ["item", "source", "tokens"], seed))
     sums = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("items"))
     plan = due.join(sums, "source", "left").fillna(0, ["available", "items"])
     reach = F.min(F.when((F.col("available") > 0) & (F.col("cap") > 0), F.col("cap") * F.col("available") / F.col("share"))).over(every)
@@ -108,8 +110,7 @@ def mix_sources(items: DataFrame, item: str, source: str, size: str, weights: Da
     plan = durable(plan.select("source", "share", "cap", "available", "items", wanted.alias("wanted"), rate.alias("rate"), F.greatest(F.lit(1), F.ceil(F.col("items") / per_shard)).alias("shards")))
 
     each = sized.join(plan.select("source", "rate", "shards"), "source")
-    draw = F.xxhash64(F.lit(seed), "item")
-    each = each.select("item", "source", "tokens", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), draw.alias("draw"), F.pmod(F.xxhash64(F.lit(seed + 1), "item"), "shards").alias("shard"))
+    each = each.select("item", "source", "tokens", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), F.col("row").alias("draw"), F.pmod(F.xxhash64(F.lit(seed + 1), "row"), "shards").alias("shard"))
     item_type = sized.schema["item"].dataType.simpleString()
     schema = f"item {item_type}, source string, tokens long, whole long, part double, draw long, shard long, open boolean"
     rounded = durable(each.groupBy("source", "shard").applyInPandas(_round_shards(0, seed), schema))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.tokens import numbered
 from loomwright.session import durable
 
 ITEMS_PER_SHARD = 50_000
+FAN_IN = 16
+OPEN_SHARE = 0.002  # a container with more room than this share left is packed again with those of other shards
 
 
 class _Remaining:
@@ -92,38 +97,60 @@ def fill_containers(items: DataFrame, item: str, size: str, plans: dict[str, dic
     items of their own. A NULL item id is an id like any other. Kinds of equal capacity count as the first by name.
     Other columns are not looked at. An empty table, or no plans, gives no rows. Capacities must be 1 or more.
 
-    Scale: pieces are hashed into shards of about `per_shard` pieces by id, and each shard is packed by itself, so no
-    task holds more however the sizes are distributed. Only a shard's last containers can be worse filled than those
-    of one global packing: about one in several thousand. Sizes are checkpointed, since they are read twice.
+    Scale: pieces are hashed into shards of about `per_shard` pieces by id, size, number among equal rows and piece, so
+    neither a NULL nor a repeated id can fill a shard, and each shard is packed by itself. The badly filled containers
+    that a shard ends with (at most per_shard / FAN_IN pieces of them, the emptiest first; the rest stay as they are)
+    are packed again, those of FAN_IN shards together, until one shard is left. So no task holds more than about
+    per_shard pieces. Sizes and each level are checkpointed.
     """
     if not plans:
         raise ValueError("no plans")
     for kinds in plans.values():
         if not kinds or min(kinds.values()) < 1:
             raise ValueError("a plan needs capacities of 1 or more")
-    sized = durable(items.select(F.col(item).alias("item"), F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long").alias("size")))
+    sized = items.select(F.col(item).alias("item"), F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long").alias("size"))
+    sized = durable(numbered(sized, ["item", "size"], 5))
     largest = F.explode(F.array(*(F.struct(F.lit(p).alias("plan"), F.lit(max(k.values())).cast("long").alias("most")) for p, k in plans.items()))).alias("p")
-    planned = sized.select("item", "size", largest).select("item", "size", "p.plan", "p.most")
+    planned = sized.select("item", "size", "row", largest).select("item", "size", "row", "p.plan", "p.most")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.col("most")))).alias("piece")
-    pieces = planned.filter("size > 0").select("plan", "item", "size", "most", piece)
+    pieces = planned.filter("size > 0").select("plan", "item", "row", "size", "most", piece)
     start = F.col("piece") * F.col("most")
-    pieces = pieces.select("plan", "item", "piece", start.alias("start"), F.least("most", F.col("size") - start).alias("tokens"))
-    counts = pieces.groupBy("plan").count()
-    shards = counts.select("plan", F.greatest(F.lit(1), F.ceil(F.col("count") / per_shard)).alias("shards"))
-    placed = pieces.join(shards, "plan").withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "item", "piece"), "shards")).drop("shards")
+    pieces = pieces.select("plan", "item", "row", "piece", start.alias("start"), F.least("most", F.col("size") - start).alias("tokens"))
+    counts = {r["plan"]: r["count"] for r in pieces.groupBy("plan").count().collect()}  # a row a plan
+    shards = {p: max(1, -(-counts.get(p, 0) // per_shard)) for p in plans}
     kind_of = {p: {c: min(n for n, x in k.items() if x == c) for c in k.values()} for p, k in plans.items()}
 
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        plan = shard["plan"].iat[0]
-        shard = shard.sort_values(["tokens", "item", "piece"], ascending=[False, True, True], kind="stable", na_position="last")
-        where, capacity = pack(shard["tokens"].to_numpy(), list(kind_of[plan]))
-        own = capacity[where]
-        names = [f"{plan}-{shard['shard'].iat[0]}-{w}" for w in where]
-        return pd.DataFrame({"plan": plan, "item": shard["item"], "piece": shard["piece"], "start": shard["start"], "tokens": shard["tokens"], "container": names, "kind": [kind_of[plan][c] for c in own.tolist()], "capacity": own})
+    def packed(level: int, last: bool):
+        def run(shard: pd.DataFrame) -> pd.DataFrame:
+            plan = shard["plan"].iat[0]
+            shard = shard.sort_values(["tokens", "row", "piece"], ascending=[False, True, True], kind="stable")
+            where, capacity = pack(shard["tokens"].to_numpy(), list(kind_of[plan]))
+            own, again = capacity[where], np.zeros(len(shard), dtype=bool)
+            if not last:
+                used = np.bincount(where, shard["tokens"].to_numpy(), len(capacity))
+                room = 1 - used / capacity
+                order = np.argsort(-room, kind="stable")
+                held = np.bincount(where, minlength=len(capacity))
+                few = (np.cumsum(held[order]) <= max(1, per_shard // FAN_IN)) & (room[order] > OPEN_SHARE)
+                again = np.isin(where, order[few])
+            names = [f"{plan}-{level}-{shard['shard'].iat[0]}-{w}" for w in where]
+            return shard.assign(container=names, kind=[kind_of[plan][c] for c in own.tolist()], capacity=own, again=again)
+
+        return run
 
     item_type = sized.schema["item"].dataType.simpleString()
-    schema = f"plan string, item {item_type}, piece long, start long, tokens long, container string, kind string, capacity long"
-    full = placed.groupBy("plan", "shard").applyInPandas(run, schema)
+    schema = f"plan string, item {item_type}, row long, piece long, start long, tokens long, shard long, container string, kind string, capacity long, again boolean"
+    many = reduce(lambda c, p: c.when(F.col("plan") == p, shards[p]), plans, F.when(F.lit(False), 1)).cast("long")
+    todo = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), many))
+    full, level, most = None, 0, max(shards.values())
+    while True:
+        done = durable(todo.groupBy("plan", "shard").applyInPandas(packed(level, most == 1), schema))
+        settled = done.filter("NOT again").select("plan", "item", "piece", "start", "tokens", "container", "kind", "capacity")
+        full = settled if full is None else full.unionByName(settled)
+        if most == 1:
+            break
+        todo = done.filter("again").select(*todo.columns).withColumn("shard", F.floor(F.col("shard") / FAN_IN))
+        level, most = level + 1, -(-most // FAN_IN)
     nothing = planned.filter("size = 0").select("plan", "item", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.col("size").alias("tokens"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("capacity"))
     return full.unionByName(nothing).withColumnRenamed("item", item)
 

@@ -38,3 +38,22 @@ def token_counts(df: DataFrame, text: str, keep: list[str], folder: str = TOKENI
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{schema}, tokens long")
+
+
+COPIES_AT_ONCE = 1 << 16
+
+
+def numbered(df: DataFrame, columns: list[str], weight: int = 0) -> DataFrame:
+    """(columns..., nth, row): every row of df with its number among equal rows, and a hash of both.
+
+    Rows that agree in all columns are counted map-side, however many there are, and told apart by nth from 0; so the
+    hash spreads repeated and NULL ids, and depends on the values alone, not on how tasks are cut.
+    """
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE))).alias("part")
+    first = F.col("part") * COPIES_AT_ONCE
+    nth = F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE, "copies") - 1)).alias("nth")
+    # the parts of a row with very many copies are made in one task, but never held together
+    flags = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    each = counted.select(*columns, "copies", parts).select(*columns, nth)
+    return each.withColumn("row", F.xxhash64(F.lit(weight), *flags, "nth"))
