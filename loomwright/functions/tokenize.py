@@ -31,10 +31,15 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(raw_tokens(text), expand))
 
 
-def token_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def token_counts(df: DataFrame, keys: list[str], text: str, limit: int | None = None) -> DataFrame:
     """(keys..., token, tf): how often each row of unique keys has each token. Rows without tokens have none.
 
+    With a limit the first so many tokens of a text are counted alone.
+
     Raw identifiers are counted before they are cut into parts, so each distinct one is cut once a row.
     """
+    if limit is not None:
+        few = df.select(*keys, F.explode(F.slice(tokens(F.col(text)), 1, limit)).alias("token"))
+        return few.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     raw = df.select(*keys, F.explode(raw_tokens(F.col(text))).alias("raw")).groupBy(*keys, "raw").agg(F.count(F.lit(1)).alias("n"))
     return raw.select(*keys, "n", F.explode(expand(F.col("raw"))).alias("token")).groupBy(*keys, "token").agg(F.sum("n").alias("tf"))

@@ -19,19 +19,28 @@ def normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def hashed_terms(df: DataFrame, keys: list[str], text: str, dim: int = 256) -> DataFrame:
-    """(keys..., slot, value): sparse unit vectors; a token counts in the slot of its md5 modulo 256."""
+def _slots(df: DataFrame, keys: list[str], text: str, dim: int, limit: int | None) -> DataFrame:
+    """(keys..., slots map<int, double>): unit vectors without their zeros, of each row with a token."""
     if dim != 256:
         raise ValueError("a slot is the last two hex digits of a token's md5")
     slot = F.conv(F.substring(F.md5("token"), 31, 2), 16, 10).cast("int").alias("slot")
-    counted = token_counts(df, keys, text).groupBy(*keys, slot).agg(F.sum("tf").alias("n"))
-    norms = counted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return counted.join(norms, keys).select(*keys, "slot", (F.col("n") / F.col("norm")).alias("value"))
+    counted = token_counts(df, keys, text, limit).groupBy(*keys, slot).agg(F.sum("tf").alias("n"))
+    rows = counted.groupBy(*keys).agg(F.collect_list(F.struct("slot", "n")).alias("ns"))
+    norm = F.sqrt(F.aggregate("ns", F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
+    return rows.select(*keys, "ns", norm.alias("norm")).select(*keys, F.map_from_entries(F.transform("ns", lambda x: F.struct(x["slot"], x["n"] / F.col("norm")))).alias("slots"))
+
+
+def hashed_terms(df: DataFrame, keys: list[str], text: str, dim: int = 256) -> DataFrame:
+    """(keys..., slot, value): sparse unit vectors; a token counts in the slot of its md5 modulo 256."""
+    return _slots(df, keys, text, dim, None).select(*keys, F.explode("slots").alias("slot", "value"))
+
 
+def hash_embedding(df: DataFrame, keys: list[str], text: str, dim: int = 256, limit: int | None = None) -> DataFrame:
+    """(keys..., vec array<double>): one vector of each row; zeros for a text without tokens, NULL included.
 
-def hash_embedding(df: DataFrame, keys: list[str], text: str, dim: int = 256) -> DataFrame:
-    """(keys..., vec array<double>): one vector of each row; zeros for a text without tokens, NULL included."""
-    sparse = hashed_terms(df, keys, text, dim).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    With a limit only the first so many tokens count, as an encoder with a longest sequence has it.
+    """
+    sparse = _slots(df, keys, text, dim, limit)
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("slots", i), F.lit(0.0)))
     every = df.select(*keys).join(sparse, keys, "left")
-    return every.select(*keys, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(filled).alias("vec"))
+    return every.select(*keys, F.when(F.col("slots").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(filled).alias("vec"))

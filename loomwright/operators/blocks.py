@@ -5,22 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(left: DataFrame, left_key: str, left_blocks: int, right: DataFrame, right_key: str, right_blocks: int, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def block_pairs(left: DataFrame, left_key: str, left_blocks: int, right: DataFrame, right_key: str, right_blocks: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """run over every pair of a block of left and a block of right; rows of one key are in one block.
 
-    Left is sent right_blocks times, right left_blocks times; what run returns is all that goes on. So the pairs of
-    rows themselves are never shuffled.
+    Left is sent right_blocks times, right left_blocks times, as Arrow tables; what run returns is all that goes on. So
+    the pairs of rows themselves are never shuffled.
     """
     every_i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left_blocks - 1).cast("long"))).alias("i")
     every_j = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(right_blocks - 1).cast("long"))).alias("j")
     a = left.select("*", F.pmod(F.xxhash64(left_key), F.lit(left_blocks)).alias("i"), every_j)
     b = right.select("*", F.pmod(F.xxhash64(right_key), F.lit(right_blocks)).alias("j"), every_i)
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, schema)
 
 
 def rounded(scores: np.ndarray, digits: int) -> np.ndarray:
@@ -41,8 +41,20 @@ def blocks_of(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def as_rows(asked: list[np.ndarray], found: list[np.ndarray], scored: list[np.ndarray]) -> pd.DataFrame:
-    """(q, d, score) of parts; as plain objects, since an empty column of strings has no single Arrow array."""
-    if not sum(map(len, scored)):
-        return pd.DataFrame({"q": [], "d": [], "score": []}, dtype=object)
-    return pd.DataFrame({"q": np.concatenate(asked), "d": np.concatenate(found), "score": np.concatenate(scored)})
+def grid(left_blocks: int, right_rows: int, right_size: int, cores: int, least: int) -> int:
+    """How many blocks of right: of right_size rows at most, and enough for all cores as long as each has `least` rows."""
+    return max(blocks_of(right_rows, right_size), min(blocks_of(2 * cores, left_blocks), max(1, right_rows // least)))
+
+
+def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each row's begin."""
+    whole = lists.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.diff(whole.offsets.to_numpy()))])
+
+
+def as_rows(asked: list[np.ndarray], found: list[np.ndarray], scored: list[np.ndarray], left: pa.Table, right: pa.Table) -> pa.Table:
+    """(q, d, score) of parts, given as places in the tables' columns q (right) and d (left)."""
+    whole = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (asked, found)]
+    scores = np.concatenate(scored) if scored else np.zeros(0)
+    return pa.table({"q": right.column("q").take(pa.array(whole[0])), "d": left.column("d").take(pa.array(whole[1])), "score": pa.array(scores, pa.float64())})

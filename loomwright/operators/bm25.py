@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.tokenize import token_counts
-from loomwright.operators.blocks import as_rows, best, block_pairs, blocks_of, rounded
+from loomwright.operators.blocks import as_rows, best, block_pairs, blocks_of, flat, grid, rounded
 from loomwright.operators.topk import top_k
 from loomwright.session import durable
 
 K1, B, DIGITS = 1.2, 0.75, 6
-POSTINGS_BLOCK, QUERY_BLOCK = 500_000, 1_000
+POSTINGS_BLOCK, QUERY_BLOCK, AT_ONCE = 2_000_000, 2_000, 64
 
 
 def bm25_index(documents: DataFrame, document: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -34,31 +34,33 @@ def bm25_index(documents: DataFrame, document: str, text: str, k1: float = K1, b
 
 
 def _score_block(k: int):
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """The k best documents of a block of postings for each query of a block of query terms."""
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        """The k best documents of a block (d, tokens, weights) for each query of a block (q, tokens, tf)."""
         asked, found, scored = [], [], []
-        if len(a) and len(b):
-            ids, document = np.unique(a["d"].to_numpy(), return_inverse=True)
-            token, vocabulary = pd.factorize(a["token"])
+        if a.num_rows and b.num_rows:
+            a = a.sort_by("d")
+            token, starts = flat(a.column("tokens"))
+            weight = flat(a.column("weights"))[0]
+            document = np.repeat(np.arange(a.num_rows), np.diff(starts))
             order = np.argsort(token, kind="stable")
-            document, weight = document[order], a["weight"].to_numpy()[order]
-            begins = np.searchsorted(token[order], np.arange(len(vocabulary) + 1))
-            b = b.assign(at=pd.Index(vocabulary).get_indexer(b["token"])).query("at >= 0").sort_values(["q", "at"], kind="stable")
-            names = b["q"].to_numpy()
-            firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(b) else np.zeros(0, dtype=int)
-            at, tf = b["at"].to_numpy(), b["tf"].to_numpy()
-            scores = np.zeros(len(ids))
-            for first, last in zip(firsts, np.append(firsts[1:], len(b))):
-                scores[:] = 0.0
-                for t, n in zip(at[first:last], tf[first:last]):
-                    span = slice(begins[t], begins[t + 1])
-                    scores[document[span]] += n * weight[span]
-                row = rounded(scores, DIGITS)
-                top = best(row, np.flatnonzero(row > 0), k)
-                asked.append(np.repeat(names[first : first + 1], len(top)))
-                found.append(ids[top])
-                scored.append(row[top])
-        return as_rows(asked, found, scored)
+            token, document, weight = token[order], document[order], weight[order]
+            wanted, at = flat(b.column("tokens"))
+            times = flat(b.column("tf"))[0]
+            first, last = np.searchsorted(token, wanted, "left"), np.searchsorted(token, wanted, "right")
+            for begin in range(0, b.num_rows, AT_ONCE):
+                end = min(begin + AT_ONCE, b.num_rows)
+                terms = slice(at[begin], at[end])
+                count = (last - first)[terms]
+                # the postings of all terms of these queries, one after another
+                place = np.repeat(first[terms] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if count.size else np.zeros(0, dtype=np.int64)
+                row = np.repeat(np.repeat(np.arange(end - begin), np.diff(at[begin : end + 1])), count)
+                sums = np.bincount(row * a.num_rows + document[place], weight[place] * np.repeat(times[terms], count), (end - begin) * a.num_rows)
+                for q, scores in enumerate(rounded(sums.reshape(end - begin, a.num_rows), DIGITS)):
+                    top = best(scores, np.flatnonzero(scores > 0), k)
+                    asked.append(np.full(len(top), begin + q))
+                    found.append(top)
+                    scored.append(scores[top])
+        return as_rows(asked, found, scored, a, b)
 
     return run
 
@@ -69,15 +71,24 @@ def bm25_search(queries: DataFrame, query: str, text: str, postings: DataFrame,
     A repeated query token counts repeatedly. Only documents that share a token are candidates; scores are rounded to
     DIGITS before they are ranked, equal ones by document id. Ids must not be NULL.
 
-    Plan: postings are hashed by document into blocks of about POSTINGS_BLOCK, query terms by query, and each pair of
-    blocks adds up the scores of its queries in place. A join of terms with postings would shuffle a row for every
-    query, document and token they share; here only the best k of each block go on.
+    Plan: postings of tokens that no query has are left out first. A document's postings are one row of lists, a query's
+    terms too, tokens as 64-bit hashes; documents are hashed into blocks of about POSTINGS_BLOCK postings, queries into
+    blocks of QUERY_BLOCK at most and no fewer than cores can work on, and each pair of blocks adds up the scores of its
+    queries in place. A join of terms with postings would shuffle a row for every query, document and token they
+    share; here only the best k of each block go on.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    asked = token_counts(queries, [query], text).select(F.col(query).alias("q"), "token", "tf")
-    indexed = postings.select(F.col(document).alias("d"), "token", "weight")
+    key = F.xxhash64("token").alias("token")
+    asked = durable(token_counts(queries, [query], text).select(F.col(query).alias("q"), key, "tf"))
+    wanted = asked.select("token").distinct()
+    indexed = postings.select(F.col(document).alias("d"), key, "weight").join(wanted, "token", "left_semi")
+    indexed = durable(indexed.groupBy("d").agg(F.collect_list(F.struct("token", "weight")).alias("p")).select("d", F.col("p.token").alias("tokens"), F.col("p.weight").alias("weights")))
+    terms = durable(asked.groupBy("q").agg(F.collect_list(F.struct("token", "tf")).alias("p")).select("q", F.col("p.token").alias("tokens"), F.col("p.tf").alias("tf")))
     schema = f"q {asked.schema['q'].dataType.simpleString()}, d {indexed.schema['d'].dataType.simpleString()}, score double"
-    few = block_pairs(indexed, "d", blocks_of(postings.count(), POSTINGS_BLOCK), asked, "q", blocks_of(queries.count(), QUERY_BLOCK), _score_block(k), schema)
+    size = indexed.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    blocks = blocks_of(size, POSTINGS_BLOCK)
+    asking = grid(blocks, terms.count(), QUERY_BLOCK, queries.sparkSession.sparkContext.defaultParallelism, AT_ONCE)
+    few = block_pairs(indexed, "d", blocks, terms, "q", asking, _score_block(k), schema)
     ranked = top_k(few, ["q"], "score", "d", k)
     return ranked.select(F.col("q").alias(query), F.lit(source).alias("source"), F.col("d").alias(document), "rank", "score")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.operators.blocks import as_rows, best, block_pairs, blocks_of, rounded
+from loomwright.operators.blocks import as_rows, best, block_pairs, blocks_of, flat, grid, rounded
 from loomwright.operators.topk import top_k
+from loomwright.session import durable
 
 DIGITS = 6
 DOCUMENT_BLOCK, QUERY_BLOCK, AT_ONCE = 20_000, 2_000, 256
@@ -21,30 +22,33 @@ def dense_search(queries: DataFrame, query: str, documents: DataFrame, document:
     don't count; all vectors must have one length. With other_than_self a document of the query's own id is left out.
 
     Plan: documents and queries are hashed into blocks of bounded size, and each pair of blocks is one task: a matrix
-    product that keeps the best k of the block for each query. A second, small step takes the best of all blocks. The
-    work is queries times documents, as exact search has it; no task or broadcast grows with the data.
+    product that keeps the best k of the block for each query. A second, small step takes the best of all blocks. There
+    are as many blocks of queries as keep all cores busy, not more than they need. Vectors are computed once and stored.
+    The work is queries times documents, as exact search has it; no task or broadcast grows with the data.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    docs = documents.select(F.col(document).alias("d"), F.col(vector).alias("v")).dropna()
-    asks = queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).dropna()
+    docs = durable(documents.select(F.col(document).alias("d"), F.col(vector).alias("v")).dropna())
+    asks = durable(queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).dropna())
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
         asked, found, scored = [], [], []
-        if len(a) and len(b):
-            a = a.sort_values("d", kind="stable")
-            ids, wanted = a["d"].to_numpy(), b["q"].to_numpy()
-            matrix = np.stack(a["v"].to_numpy()).astype(np.float64).T
-            for start in range(0, len(b), AT_ONCE):
-                vectors = np.stack(b["v"].to_numpy()[start : start + AT_ONCE]).astype(np.float64)
-                for q, row in zip(wanted[start : start + AT_ONCE], rounded(vectors @ matrix, DIGITS)):
-                    top = best(row, np.flatnonzero(ids != q) if other_than_self else np.arange(len(ids)), k)
-                    asked.append(np.repeat(np.asarray([q], dtype=wanted.dtype), len(top)))
-                    found.append(ids[top])
+        if a.num_rows and b.num_rows:
+            a = a.sort_by("d")
+            matrix, vectors = (flat(t.column("v"))[0].astype(np.float64).reshape(t.num_rows, -1) for t in (a, b))
+            ids, wanted = (t.column(c).to_numpy() for t, c in ((a, "d"), (b, "q"))) if other_than_self else (None, None)
+            every = np.arange(a.num_rows)
+            for start in range(0, b.num_rows, AT_ONCE):
+                for q, row in enumerate(rounded(vectors[start : start + AT_ONCE] @ matrix.T, DIGITS), start):
+                    top = best(row, np.flatnonzero(ids != wanted[q]) if other_than_self else every, k)
+                    asked.append(np.full(len(top), q))
+                    found.append(top)
                     scored.append(row[top])
-        return as_rows(asked, found, scored)
+        return as_rows(asked, found, scored, a, b)
 
     schema = f"q {asks.schema['q'].dataType.simpleString()}, d {docs.schema['d'].dataType.simpleString()}, score double"
-    near = block_pairs(docs, "d", blocks_of(documents.count(), DOCUMENT_BLOCK), asks, "q", blocks_of(queries.count(), QUERY_BLOCK), run, schema)
+    blocks = blocks_of(docs.count(), DOCUMENT_BLOCK)
+    asking = grid(blocks, asks.count(), QUERY_BLOCK, queries.sparkSession.sparkContext.defaultParallelism, AT_ONCE)
+    near = block_pairs(docs, "d", blocks, asks, "q", asking, run, schema)
     ranked = top_k(near, ["q"], "score", "d", k)
     return ranked.select(F.col("q").alias(query), F.lit(source).alias("source"), F.col("d").alias(document), "rank", "score")
