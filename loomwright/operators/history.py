@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from loomwright.session import durable
 
 
-def entity_history(listing: DataFrame, snapshots: DataFrame, scope: str, snapshot: str, order: str, entity: list[str], attributes: list[str], fanout: int = 16, levels: int = 2) -> DataFrame:
+ROWS_A_LEAF, MOST_LEVELS = 64, 6
+
+
+def entity_history(listing: DataFrame, snapshots: DataFrame, scope: str, snapshot: str, order: str, entity: list[str], attributes: list[str], fanout: int = 16, levels: int | None = None) -> DataFrame:
     """Every version of every entity with the period in which it held.
 
     listing: (snapshot, entity..., attributes...), the full content of each snapshot; repeated rows count once.
@@ -29,11 +32,11 @@ def entity_history(listing: DataFrame, snapshots: DataFrame, scope: str, snapsho
     of differing nodes are looked at; rows are compared in differing leaves alone. What appears opens a version,
     what disappears closes one; a snapshot of no rows behind the last closes all that is open.
 
-    Scale: the work table is written once, hash-partitioned by (scope, leaf), so that a scope with a third of all
-    rows is spread over fanout**levels tasks; raise `levels` for larger scopes. Digest tables have a row per
-    snapshot and node, and shrink by `fanout` a level.
+    Scale: the work table is written once. Unless `levels` is given there are as many as leave about ROWS_A_LEAF rows of
+    the largest snapshot in a leaf (MOST_LEVELS at most), so a scope with a third of all rows is spread over fanout**levels
+    leaves. Digest tables have a row per snapshot and node, and shrink by `fanout` a level. Of the rows only those of
+    differing leaves are shuffled for the comparison, so that shuffle falls with the share of leaves that change.
     """
-    leaves = fanout**levels
     known = (
         snapshots.select(F.col(scope).alias("scope"), F.col(snapshot).alias("snapshot"), F.col(order).alias("order"))
         .dropna()
@@ -44,9 +47,15 @@ def entity_history(listing: DataFrame, snapshots: DataFrame, scope: str, snapsho
     names = [f"e{i}" for i in range(len(entity))] + [f"a{i}" for i in range(len(attributes))]
     of_entity = names[: len(entity)]
     listed = listing.select(F.col(snapshot).alias("snapshot"), *(F.col(c).alias(n) for c, n in zip([*entity, *attributes], names)))
+    listed = listed.join(known.select("scope", "snapshot", "r"), "snapshot").select("scope", "r", *names)
+    if levels is None:
+        largest = listed.groupBy("scope", "r").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        levels = 1
+        while levels < MOST_LEVELS and fanout**levels * ROWS_A_LEAF < largest:
+            levels += 1
+    leaves = fanout**levels
     rows = (
-        listed.join(known.select("scope", "snapshot", "r"), "snapshot")
-        .withColumn("leaf", F.pmod(_hash(of_entity, 1), F.lit(leaves)).cast("int"))
+        listed.withColumn("leaf", F.pmod(_hash(of_entity, 1), F.lit(leaves)).cast("int"))
         .select("scope", "r", "leaf", *names)
         .repartition("scope", "leaf")
         .distinct()
@@ -67,7 +76,9 @@ def entity_history(listing: DataFrame, snapshots: DataFrame, scope: str, snapsho
             parents = differing.withColumnRenamed("node", "parent")
             both = both.withColumn("parent", F.floor(F.col("node") / fanout).cast("int")).join(parents, ["scope", "r", "parent"], "left_semi")
         differing = both.groupBy("scope", "r", "node").agg(F.bit_xor("digest").alias("d")).filter("d != 0").select("scope", "r", "node")
-    in_changed = _with_predecessor(rows).join(differing.withColumnRenamed("node", "leaf"), ["scope", "r", "leaf"], "left_semi")
+    # a differing leaf at r is compared with the same leaf at r - 1: rows of all other leaves go no further
+    leaf_keys = differing.select("scope", F.col("node").alias("leaf"), F.explode(F.array(F.struct(F.col("r").alias("r"), F.lit(1).alias("sign"), F.col("r").alias("at")), F.struct((F.col("r") - 1).alias("r"), F.lit(-1).alias("sign"), F.col("r").alias("at")))).alias("k")).select("scope", "leaf", "k.*")
+    in_changed = rows.join(leaf_keys, ["scope", "leaf", "r"]).withColumn("r", F.col("at")).drop("at")
     events = in_changed.groupBy("scope", "leaf", "r", *names).agg(F.sum("sign").alias("sign")).filter("sign != 0")
     version = Window.partitionBy("scope", "leaf", *names).orderBy("r")
     periods = events.withColumn("until", F.lead("r").over(version)).filter("sign > 0").withColumn("last", F.col("until") - 1)

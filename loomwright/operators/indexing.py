@@ -20,8 +20,8 @@ def number_symbols(snippets: DataFrame, keys: list[str]) -> DataFrame:
     return snippets.withColumn("symbol", F.when(nth > 1, F.concat("symbol", F.lit("#"), nth.cast("string"))).otherwise(F.col("symbol")))
 
 
-def change_actions(changes: DataFrame) -> DataFrame:
-    """(path, action) from (status, old_path, new_path): what to drop from the parent's listing, what to extract.
+def change_actions(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys..., path, action) from (keys..., status, old_path, new_path): what to drop from the parent's listing, what to extract.
 
     R drops the old path and extracts the new one, C extracts the new one, D drops; all else (A, M, T) does both to the
     path, which is new_path, or old_path if that is NULL.
@@ -34,7 +34,7 @@ def change_actions(changes: DataFrame) -> DataFrame:
 
     old = F.coalesce("old_path", "new_path")
     actions = F.when(kind == "R", F.array(act(old, "drop"), act(path, "extract"))).when(kind == "C", F.array(act(path, "extract"))).when(kind == "D", F.array(act(old, "drop"))).otherwise(F.array(act(path, "drop"), act(path, "extract")))
-    return changes.select(F.explode(actions).alias("a")).select("a.*").distinct()
+    return changes.select(*keys, F.explode(actions).alias("a")).select(*keys, "a.*").distinct()
 
 
 def changes_between(parent: DataFrame, child: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from loomwright.session import durable
 
 HASHES = 3
 GROWTH = 4
+MOST_ROUNDS = 4
 
 
 def snapshot_changes(listing: DataFrame, pairs: DataFrame, snapshot: str, parent: str, entity: list[str], value: str, keys_per_bucket: int = 64, cells: int = 24) -> DataFrame:
@@ -32,7 +33,8 @@ def snapshot_changes(listing: DataFrame, pairs: DataFrame, snapshot: str, parent
     leaves the differing entries alone. They are read off by peeling: a cell that holds one entry gives it up, which
     is then taken out of its other cells. A bucket counts as read if no cell is left and the number and exclusive
     or of the entries read equal the difference of the two sides' bucket digests; all other buckets are built again
-    with four times the cells until every bucket is read. Cells outnumber the differing keys soon, so this ends.
+    with four times the cells, up to MOST_ROUNDS times. Buckets that still can't be read, where two different entries
+    have one hash, say, are compared by an exact join of their entries, so this always ends.
 
     Scale: listings are hash-aggregated once; the tables' cells are added up map-side before they are shuffled by
     (snapshot, bucket). Peeling runs over Arrow batches of buckets, each of bounded size, not per snapshot, so a
@@ -59,7 +61,7 @@ def snapshot_changes(listing: DataFrame, pairs: DataFrame, snapshot: str, parent
 
     found: list[DataFrame] = []
     todo: DataFrame | None = None
-    while True:
+    for _ in range(MOST_ROUNDS):
         work = spread if todo is None else spread.join(todo, ["child", "parent", "bucket"], "left_semi")
         peeled = durable(_peel(work, cells))
         found.append(peeled.filter("key IS NOT NULL").select("child", "parent", "key", "sign"))
@@ -67,6 +69,11 @@ def snapshot_changes(listing: DataFrame, pairs: DataFrame, snapshot: str, parent
         if todo.isEmpty():
             break
         cells *= GROWTH
+    else:
+        entry = ["child", "parent", "key", "pair"]
+        sides = spread.join(todo, ["child", "parent", "bucket"], "left_semi").select(*entry, "sign")
+        one, two = (sides.filter(F.col("sign") == x) for x in (1, -1))
+        found += [a.join(b.select(*entry), entry, "left_anti").select("child", "parent", "key", "sign") for a, b in ((one, two), (two, one))]
     recovered = found[0]
     for more in found[1:]:
         recovered = recovered.unionByName(more)

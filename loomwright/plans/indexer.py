@@ -32,10 +32,9 @@ class CommitIndexer:
 
     def index_commit(self, repo: str, commit: str, mode: str = "incremental") -> str:
         """Index a commit; returns the snapshot id. Without an incremental snapshot of the parent all files are read."""
-        commit = git.git(repo, "rev-parse", commit).decode().strip()
-        parent = git.first_parent(repo, commit)
+        commit, parent = git.lineage(repo, git.resolve(repo, commit), 1)[0]
         base = self.store.snapshot_id_for(self.name, parent) if parent and mode == "incremental" else None
-        changed = git.changes(self.store.spark, repo, parent, commit) if base else None
+        changed = git.changed_files(self.store.spark, repo, parent, commit) if base else None
         return self.index_changes(repo, commit, parent, base, changed, mode)
 
     def index_changes(self, repo: str, commit: str, parent: str | None, base: str | None, changed: DataFrame | None, mode: str) -> str:
@@ -46,10 +45,10 @@ class CommitIndexer:
             paths, dropped = (actions.filter(F.col("action") == a).select("path") for a in ("extract", "drop"))
             before = self.store.listing(base)
         else:
-            paths = git.paths_at(spark, repo, commit, self.include)
+            paths = git.files_at(spark, repo, commit, self.include)
             dropped = paths.limit(0)
             before = self.store.listing("")
-        snippets = self.store.add_snippets(extract_snippets(git.read_files(paths, repo, commit)))
+        snippets = self.store.add_snippets(extract_snippets(git.with_sources(paths, repo, commit)))
         listing = durable(incremental_listing(before, dropped, snippets, []))
         contents = listing.join(self.store.table("occurrence"), "occ_key").join(self.store.table("content"), "content_key")
         _, embedded = self.store.embed(contents, self.recipe, self.encode)

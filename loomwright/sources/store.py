@@ -22,6 +22,7 @@ SCHEMAS = {
     "membership": "occ_key string, snapshot_id string",
     "snapshot": "snapshot_id string, repo string, commit_sha string, parent_sha string, seq int, mode string, stats map<string, double>, loaded_at timestamp",
     "embedding": "content_key string, vec array<double>, recipe_id string",
+    "held": "repo string, commit_sha string, parent_sha string, status string, old_path string, new_path string, source string",
 }
 PARTITIONS = {"membership": "snapshot_id", "embedding": "recipe_id"}
 
@@ -54,18 +55,44 @@ class SnapshotStore:
         self._append(missing(keyed.select(*columns), self.table("occurrence"), "occ_key"), "occurrence")
         return keyed
 
-    def publish(self, snapshot_id: str, repo: str, commit: str, parent: str | None, mode: str, occ_keys: DataFrame, stats: dict[str, float]) -> int:
-        """Write or replace a snapshot's listing and then its row; returns its seq, which publishing again doesn't change."""
-        listing = durable(occ_keys.select("occ_key").distinct())
-        path = f"{self._path('membership')}/snapshot_id={snapshot_id.replace(':', '%3A')}"
-        listing.write.mode("overwrite").parquet(path)
-        earlier = self.table("snapshot").filter((F.col("repo") == repo) & (F.col("mode") == mode))
-        own, last = earlier.agg(F.min(F.when(F.col("snapshot_id") == snapshot_id, F.col("seq"))).alias("own"), F.max("seq").alias("last")).first()
-        seq = own if own is not None else (-1 if last is None else last) + 1
-        row = [(snapshot_id, repo, commit, parent, seq, mode, {k: float(v) for k, v in stats.items()})]
+    def write_listings(self, listings: DataFrame, snapshots: list[str]) -> None:
+        """Write or replace the listings (occ_key, snapshot_id) of `snapshots`; all others stay."""
+        whole = durable(listings.select("occ_key", "snapshot_id").distinct())
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(self._path("membership"))
+        # an empty listing writes no partition: what an earlier publication left has to go
+        filled = {r["snapshot_id"] for r in whole.select("snapshot_id").distinct().collect()}
+        jvm = self.spark.sparkContext._jvm
+        for snapshot in set(snapshots) - filled:
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("snapshot_id", snapshot)
+            path = jvm.org.apache.hadoop.fs.Path(f"{self._path('membership')}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def announce(self, rows: list[tuple[str, str, str, str | None, str, dict[str, float]]]) -> list[int]:
+        """Publish snapshots (snapshot_id, repo, commit, parent, mode, stats) whose listings are written; returns their seqs.
+
+        A seq is the next of its repository and mode, in the order given; publishing again doesn't change it.
+        """
+        wanted = self.spark.createDataFrame([(r[0], r[1], r[4]) for r in rows], "snapshot_id string, repo string, mode string")
+        earlier = self.table("snapshot").join(wanted.select("repo", "mode").distinct(), ["repo", "mode"])
+        last = {(r["repo"], r["mode"]): r["last"] for r in earlier.groupBy("repo", "mode").agg(F.max("seq").alias("last")).collect()}
+        own = {r["snapshot_id"]: r["seq"] for r in earlier.join(wanted.select("snapshot_id"), "snapshot_id", "left_semi").groupBy("snapshot_id").agg(F.min("seq").alias("seq")).collect()}
+        made = []
+        for snapshot, repo, commit, parent, mode, stats in rows:
+            if snapshot not in own:
+                own[snapshot] = last[repo, mode] = last.get((repo, mode), -1) + 1
+            made.append((snapshot, repo, commit, parent, own[snapshot], mode, {k: float(v) for k, v in stats.items()}))
         schema = SCHEMAS["snapshot"].rpartition(",")[0]
-        self._append(self.spark.createDataFrame(row, schema).withColumn("loaded_at", F.current_timestamp()), "snapshot")
-        return seq
+        self._append(self.spark.createDataFrame(made, schema).withColumn("loaded_at", F.current_timestamp()), "snapshot")
+        return [row[4] for row in made]
+
+    def publish(self, snapshot_id: str, repo: str, commit: str, parent: str | None, mode: str, occ_keys: DataFrame, stats: dict[str, float]) -> int:
+        """Write or replace a snapshot's listing and then its row; returns its seq."""
+        self.write_listings(occ_keys.select("occ_key", F.lit(snapshot_id).alias("snapshot_id")), [snapshot_id])
+        return self.announce([(snapshot_id, repo, commit, parent, mode, stats)])[0]
+
+    def listings(self, of: DataFrame) -> DataFrame:
+        """(key, occ_key, path) of several snapshots: of is (key, snapshot_id)."""
+        return self.table("membership").join(of.select("key", "snapshot_id"), "snapshot_id").join(self.table("occurrence").select("occ_key", "path"), "occ_key").select("key", "occ_key", "path")
 
     def snapshots(self, repo: str, mode: str = "incremental") -> DataFrame:
         """Published snapshots in order of seq, each once, with the stats of its latest publication."""
@@ -82,6 +109,10 @@ class SnapshotStore:
         own = self.table("membership").filter(F.col("snapshot_id") == snapshot_id)
         return own.join(self.table("occurrence"), "occ_key").select("occ_key", "path")
 
+    def hold(self, changes: DataFrame) -> None:
+        """Replace the changes that wait for their parent commits."""
+        durable(changes).write.mode("overwrite").parquet(self._path("held"))
+
     def embeddings(self, recipe: str) -> DataFrame:
         return self.table("embedding").filter(F.col("recipe_id") == recipe)
 
