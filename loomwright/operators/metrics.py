@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTOFFS = (10, 50, 100, 200)
+MOST_RUNS = 10_000
 
 
 def judgments(qrels: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def per_query(run: DataFrame, qrels: DataFrame, keys: list[str] | None = None) -
     every = qrels.select("qid").distinct()
     if keys:
         # the runs to be compared are few by nature: their keys are one array, laid out for each judged query
-        runs = run.select(*keys).distinct().agg(F.collect_list(F.struct(*keys))).scalar()
+        listed = run.select(*keys).distinct().limit(MOST_RUNS + 1).agg(F.collect_list(F.struct(*keys)).alias("runs"))
+        runs = listed.select(F.when(F.size("runs") > MOST_RUNS, F.raise_error(F.lit(f"more than {MOST_RUNS} runs to compare"))).otherwise(F.col("runs"))).scalar()
         every = every.select("qid", F.explode(runs).alias("run")).select("qid", "run.*")
     full = every.join(ideal, "qid", "left").join(met, [*keys, "qid"], "left")
     return full.select(*keys, "qid", "gold_rank", F.round(F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)), 6).alias("ndcg10"))
@@ -72,3 +74,20 @@ def bottleneck(queries: DataFrame) -> DataFrame:
     """One row: misses at 10, and of them those absent from the first 100 and those in it."""
     rank = F.coalesce("gold_rank", F.lit(1 << 30))
     return queries.agg(F.count_if(rank > 10).alias("n_miss_at_10"), F.count_if(rank > 100).alias("absent_from_top100"), F.count_if((rank > 10) & (rank <= 100)).alias("in_top100_ranked_low"))
+
+
+def official_metrics(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10, 20, 100, 1000)) -> DataFrame:
+    """(k, ndcg, mrr, map, precision, recall, accuracy) by cut-off, means over all judged queries with a relevant document.
+
+    run: (qid, doc_id, rank), as deep as the largest cut-off. accuracy is the share of queries with a relevant document
+    among the first k. ndcg has linear gains.
+    """
+    relevant = qrels.filter("rel > 0")
+    grid = F.explode(F.array(*map(F.lit, cutoffs))).alias("k")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rel"), "doc_id"))
+    best = relevant.withColumn("r", place).select("qid", "rel", "r", grid).filter("r <= k").groupBy("qid", "k").agg(F.sum(F.col("rel") / F.log2(F.col("r") + 1.0)).alias("ideal"))
+    hits = run.join(relevant, ["qid", "doc_id"]).select("qid", "rank", "rel", grid).filter("rank <= k")
+    got = hits.groupBy("qid", "k").agg(F.sum(F.col("rel") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.min("rank").alias("first"))
+    each = best.join(got, ["qid", "k"], "left")
+    ranks = each.groupBy("k").agg(F.round(F.avg(F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0))), 6).alias("ndcg"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return ranks.join(set_metrics(run, qrels, cutoffs).withColumnRenamed("hit_rate", "accuracy"), "k")

@@ -69,6 +69,7 @@ def miss_buckets(report: DataFrame, queries: DataFrame) -> DataFrame:
     limit = [F.col(c) if c in report.columns else F.lit(False) for c in ("query_truncated", "gold_truncated")]
     misses = report.filter(~F.col("hit@10")).join(queries.select("qid", "text"), "qid")
     somewhere = F.exists(F.map_values("sources"), lambda v: F.coalesce(v["rank"] <= 10, F.lit(False)))
+    # The names of the buckets, as reports have them.
     cases = [
         ("candidate: absent from fused top100", ~F.col("hit@100")),
         ("ranking: in top100, ranked >10", F.col("hit@100")),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.order import positions
+
 
 def top_k(scored: DataFrame, groups: list[str], score: str, item: str, k: int | None, rank: str = "rank") -> DataFrame:
     """scored with `rank` from 1: score from high to low, then item in byte order; ranks above k left out.
@@ -26,6 +28,6 @@ def every_nth(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """At most n rows, evenly spaced in the given order: every (rows // n)-th, the first included. None if n < 1."""
     if n < 1:
         return df.limit(0)
-    step = F.greatest(F.lit(1), F.floor(df.agg(F.count(F.lit(1))).scalar() / n))
-    at = (F.row_number().over(Window.orderBy(*order)) - 1).alias("at")
-    return df.select("*", at).filter((F.pmod("at", step) == 0) & (F.col("at") < n * step)).drop("at")
+    step = max(1, df.count() // n)
+    placed = positions(df, order, "__place").withColumn("__at", F.col("__place") - 1)
+    return placed.filter((F.pmod("__at", F.lit(step)) == 0) & (F.col("__at") < n * step)).select(*df.columns)

@@ -10,6 +10,7 @@ from loomwright.functions.vectors import hash_embedding
 from loomwright.operators.bm25 import bm25_index, bm25_search
 from loomwright.operators.dense import dense_search
 from loomwright.operators.fusion import rrf
+from loomwright.session import durable
 
 
 def known_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -98,27 +99,43 @@ def version_diffs(versions: DataFrame, contents: DataFrame) -> DataFrame:
     return both.select("repo", "content_key", "other", unified_diff(old, new, old_name, new_name).alias("diff"))
 
 
-def fused_search(documents: DataFrame, document: str, lexical: str, dense: str, queries: DataFrame, depth: int, k: int) -> DataFrame:
-    """(qid, document, score, rank): hashed-vector and lexical search, `depth` candidates each, fused by reciprocal rank."""
-    postings = bm25_index(documents.select(document, lexical), document, lexical)
+def by_hash(df: DataFrame, keys: list[str], text: str, role: str) -> DataFrame:
+    """(keys..., vec): the encoder that needs no model; role (query or document) makes no difference to it."""
+    return hash_embedding(df, keys, text)
+
+
+def prepare_search(documents: DataFrame, document: str, lexical: str, dense: str, embed=by_hash, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, vectors) of documents, stored, for any number of searches; given vectors (document, vec) are taken as they are."""
+    if vectors is None:
+        vectors = embed(documents.select(document, dense), [document], dense, "document")
+    return durable(bm25_index(documents.select(document, lexical), document, lexical)), durable(vectors.select(document, "vec"))
+
+
+def search_prepared(prepared: tuple[DataFrame, DataFrame], document: str, queries: DataFrame, depth: int, k: int, embed=by_hash) -> DataFrame:
+    """(qid, document, score, rank): dense and lexical search, `depth` candidates each, fused by reciprocal rank."""
+    postings, vectors = prepared
     words = bm25_search(queries, "qid", "text", postings, document, depth)
-    vectors = hash_embedding(documents.select(document, dense), [document], dense)
-    asked = hash_embedding(queries.select("qid", "text"), ["qid"], "text")
+    asked = embed(queries.select("qid", "text"), ["qid"], "text", "query")
     near = dense_search(asked, "qid", vectors, document, "vec", depth)
     return rrf(near.unionByName(words), ["qid"], document).filter(F.col("rank") <= k)
 
 
-def snapshot_search(occurrences: DataFrame, queries: DataFrame, k: int = 10, depth: int = 100) -> DataFrame:
+def fused_search(documents: DataFrame, document: str, lexical: str, dense: str, queries: DataFrame, depth: int, k: int, embed=by_hash) -> DataFrame:
+    """search_prepared of documents that are searched once."""
+    return search_prepared(prepare_search(documents, document, lexical, dense, embed), document, queries, depth, k, embed)
+
+
+def snapshot_search(occurrences: DataFrame, queries: DataFrame, k: int = 10, depth: int = 100, embed=by_hash) -> DataFrame:
     """(qid, rank, score, occ_key, path, symbol, start_line, end_line, content_key, code): search in one snapshot.
 
     occurrences: snapshot_occurrences of it. Lexical search reads path and symbol too. An empty snapshot gives no hits.
     """
     documents = occurrences.select("occ_key", document_text(F.col("path"), F.col("symbol"), F.col("code")).alias("words"), "code")
-    hits = fused_search(documents, "occ_key", "words", "code", queries, depth, k)
+    hits = fused_search(documents, "occ_key", "words", "code", queries, depth, k, embed)
     return hits.join(occurrences.select("occ_key", "path", "symbol", "start_line", "end_line", "content_key", "code"), "occ_key")
 
 
-def history_search(rows: DataFrame, contents: DataFrame, queries: DataFrame, k: int = 10, depth: int = 200) -> DataFrame:
+def history_search(rows: DataFrame, contents: DataFrame, queries: DataFrame, k: int = 10, depth: int = 200, embed=by_hash) -> DataFrame:
     """Search over every version in `history` rows of one repository: one hit a content, with its commits and versions.
 
     Returns (qid, rank, score, content_key, path, symbol, first_commit, last_commit, n_commits, n_versions, other); other is
@@ -126,10 +143,21 @@ def history_search(rows: DataFrame, contents: DataFrame, queries: DataFrame, k:
     """
     versions = nearest_versions(content_versions(rows))
     documents = versions.join(contents.select("content_key", "code"), "content_key").select("content_key", document_text(F.col("path"), F.col("symbol"), F.col("code")).alias("words"), "code")
-    hits = fused_search(documents, "content_key", "words", "code", queries, depth, k)
+    hits = fused_search(documents, "content_key", "words", "code", queries, depth, k, embed)
     return hits.join(versions.drop("repo", "first_seq", "other_seq"), "content_key")
 
 
+def with_diffs(hits: DataFrame, rows: DataFrame, contents: DataFrame, repo: str | None = None) -> DataFrame:
+    """history_search hits with `code` and `diff`: the difference from the older to the newer of the hit and its nearest version.
+
+    rows: the `history` rows that were searched. diff is NULL for a content without another version.
+    """
+    wanted = hits.select("content_key").distinct()
+    found = durable(content_versions(rows))
+    diffs = version_diffs(found, contents).join(wanted, "content_key", "left_semi").select("content_key", "diff")
+    return hits.join(contents.select("content_key", "code"), "content_key").join(diffs, "content_key", "left")
+
+
 def version_labels(labels: DataFrame, occurrences: DataFrame) -> DataFrame:
     """labels (id, snapshot_id, symbol, ...) with the gold content_key; a symbol that isn't there exactly once is an error."""
     gold = labels.join(occurrences.select("snapshot_id", "symbol", "content_key"), ["snapshot_id", "symbol"], "left")
@@ -138,6 +166,21 @@ def version_labels(labels: DataFrame, occurrences: DataFrame) -> DataFrame:
     return counted.select(*labels.columns, checked.alias("gold"))
 
 
+def snapshot_ranks(labels: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, snapshot_rank): rank of the first hit with the label's symbol, in a search of the label's snapshot.
+
+    labels: (id, qid, symbol); hits: (qid, rank, symbol) of the label's own snapshot.
+    """
+    own = labels.select("id", "qid", "symbol").join(hits.select("qid", "rank", F.col("symbol").alias("s")), "qid", "left")
+    return own.groupBy("id").agg(F.min(F.when(F.col("s") == F.col("symbol"), F.col("rank"))).alias("snapshot_rank"))
+
+
+def rank_summary(ranks: DataFrame, rank: str) -> DataFrame:
+    """One row: labels, mrr, hits at 1 and 5 of a column of ranks, NULL for what wasn't found."""
+    r = F.col(rank)
+    return ranks.agg(F.count(F.lit(1)).alias("labels"), F.round(F.avg(F.coalesce(1 / r, F.lit(0.0))), 4).alias("mrr"), F.count_if(r == 1).alias("hit_1"), F.count_if(r <= 5).alias("hit_5"))
+
+
 def version_ranks(labels: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, history_rank, version_correct): rank of the gold version, and whether it precedes all others of its symbol.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import hashing, text, tokenize, vectors, views
 from loomwright.operators import bm25, dense, fusion, metrics, report, topk
+from loomwright.operators.order import positions
 from loomwright.plans.evaluate import evaluate, load_split
 from loomwright.plans.sql import bm25_ctes, dense_ctes, hash_ctes, token_ctes, view_ctes
 from loomwright.session import durable
@@ -14,8 +15,7 @@ from loomwright.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-#: Depth of the registered SQL. The queries themselves look as deep as what they report: see README, deviations.
-DEPTH = 50
+#: Evaluations look as deep as what they report.
 EVALUATION_DEPTH = 200
 SETS_DEPTH = 1000
 
@@ -77,9 +77,15 @@ def fn_core2_view(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "queries").filter("text IS NOT NULL").select("qid", views.core2_view(F.col("text")).alias("view"))
 
 
-@query("fn_starter_code", f"WITH {view_ctes('v', 'documents', 'doc_id', 'text', False)} SELECT doc_id, starter FROM v_f WHERE starter <> ''")
+FENCED_SQL = "fenced AS (SELECT doc_id, 'Complete this:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'and call it.' || chr(10) || '```' || chr(10) || split_part(text, chr(10), 1) || chr(10) || '```' AS text FROM corpus)"
+
+
+@query("fn_starter_code", f"WITH {FENCED_SQL}, {view_ctes('v', 'fenced', 'doc_id', 'text', False)} SELECT doc_id, starter FROM v_f WHERE starter <> ''")
 def fn_starter_code(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", views.starter_code(F.col("text")).alias("starter")).filter("starter != ''")
+    """Starter code of statements; no given text has a fence, so every solution is put into a statement with two of them."""
+    first = F.split("text", "\n")[0]
+    fenced = F.concat(F.lit("Complete this:\n```python\n"), "text", F.lit("\n```\nand call it.\n```\n"), first, F.lit("\n```"))
+    return read_table(spark, d, "corpus").select("doc_id", views.starter_code(fenced).alias("starter")).filter("starter != ''")
 
 
 @query("fn_sections", f"WITH {view_ctes('v', 'queries', 'qid', 'text', False)} SELECT section, count(*) AS n, count(DISTINCT qid) AS texts FROM v_s WHERE section IS NOT NULL GROUP BY section")
@@ -101,11 +107,9 @@ def fn_snippet_head(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fn_numeric_order", "SELECT qid, row_number() OVER (ORDER BY TRY_CAST(n AS BIGINT) IS NULL, TRY_CAST(n AS BIGINT), n) AS place, n FROM (SELECT qid, CASE WHEN length(qid) % 2 = 0 THEN substr(qid, 2) ELSE qid END AS n FROM queries)")
 def fn_numeric_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     n = F.when(F.length("qid") % 2 == 0, F.expr("substr(qid, 2)")).otherwise(F.col("qid")).alias("n")
     ids = read_table(spark, d, "queries").select("qid", n)
-    return ids.select("qid", F.row_number().over(Window.orderBy(*text.numeric_first(F.col("n")))).cast("long").alias("place"), "n")
+    return positions(ids, text.numeric_first(F.col("n")))
 
 
 @query("fn_hash_embedding", f"WITH {token_ctes('t', 'corpus', 'doc_id', 'text')}, {hash_ctes('h', 't', 'doc_id')} SELECT doc_id, slot, round(v, 9) AS value FROM h")
@@ -244,7 +248,7 @@ def metrics_bottleneck(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bottleneck(metrics_per_query(spark, d))
 
 
-@query("metrics_sets", f"""WITH {token_ctes('dt', 'corpus', 'doc_id', 'text')}, {token_ctes('qt', 'queries', 'qid', 'text')}, {bm25_ctes('s', 'corpus', 'doc_id', 'dt', 'qt', k=DEPTH)}, {JUDGED_SQL},
+@query("metrics_sets", f"""WITH {token_ctes('dt', 'corpus', 'doc_id', 'text')}, {token_ctes('qt', 'queries', 'qid', 'text')}, {bm25_ctes('s', 'corpus', 'doc_id', 'dt', 'qt', k=SETS_DEPTH)}, {JUDGED_SQL},
 hit AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM s JOIN j USING (qid, doc_id) WHERE rel > 0),
 tot AS (SELECT qid, count(*) AS total FROM j WHERE rel > 0 GROUP BY qid), ks AS (SELECT unnest([1, 3, 5, 10, 20, 100, 1000]) AS k),
 g AS (SELECT tot.qid, total, k, count(nth) AS hits, coalesce(sum(nth / rank), 0) AS ap FROM tot CROSS JOIN ks LEFT JOIN hit ON hit.qid = tot.qid AND hit.rank <= k GROUP BY ALL)
@@ -264,7 +268,7 @@ def _evaluated(spark: SparkSession, d: str, config: dict):
 
 
 EVAL_SQL = f"""{SPLIT_SQL}, {token_ctes('dt', 'corpus', 'doc_id', 'text')}, {token_ctes('qt', 'q', 'qid', 'text')}, {hash_ctes('dh', 'dt', 'doc_id')}, {hash_ctes('qh', 'qt', 'qid')},
-{dense_ctes('near', 'corpus', 'doc_id', 'q', 'dh', 'qh', DEPTH)}, {bm25_ctes('lex', 'corpus', 'doc_id', 'dt', 'qt', k=DEPTH)},
+{dense_ctes('near', 'corpus', 'doc_id', 'q', 'dh', 'qh', EVALUATION_DEPTH)}, {bm25_ctes('lex', 'corpus', 'doc_id', 'dt', 'qt', k=EVALUATION_DEPTH)},
 cand AS (SELECT qid, 'hash256' AS source, doc_id, rank, score FROM near UNION ALL SELECT qid, 'bm25', doc_id, rank, score FROM lex),
 ev AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM cand GROUP BY qid, doc_id),
 run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ev), {scored_sql('run', '')},
@@ -288,7 +292,7 @@ def evaluate_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qid", "gold", F.col("rank").cast("long").alias("rank"), "ndcg10", F.col("hit@10").alias("hit10"), F.col("hit@200").alias("hit200"), F.array_join("top5", " ").alias("top5"), F.array_join(entries, " ").alias("sources"), F.col("query_words").cast("long").alias("query_words"), F.col("gold_words").cast("long").alias("gold_words"))
 
 
-LEX_SQL = f"""{SPLIT_SQL}, {token_ctes('dt', 'corpus', 'doc_id', 'text')}, {token_ctes('qt', 'q', 'qid', 'text')}, {bm25_ctes('lex', 'corpus', 'doc_id', 'dt', 'qt', k=DEPTH)}, {scored_sql('lex', '')}"""
+LEX_SQL = f"""{SPLIT_SQL}, {token_ctes('dt', 'corpus', 'doc_id', 'text')}, {token_ctes('qt', 'q', 'qid', 'text')}, {bm25_ctes('lex', 'corpus', 'doc_id', 'dt', 'qt', k=EVALUATION_DEPTH)}, {scored_sql('lex', '')}"""
 PAIR_SQL = f"""WITH base AS (WITH {LEX_SQL} SELECT qid, gold_rank AS rank, round(ndcg10, 4) AS ndcg FROM scored), new AS (WITH {EVAL_SQL} SELECT qid, gold_rank AS rank, round(ndcg10, 4) AS ndcg FROM scored),
 p AS (SELECT qid, CAST({FOLD_SQL} AS INTEGER) AS fold, b.rank AS br, n.rank AS nr, b.ndcg AS bn, n.ndcg AS nn FROM base b JOIN new n USING (qid)),
 f AS (SELECT fold, count(*) AS n, round(avg(nn - bn), 6) AS d_ndcg, round(avg(CASE WHEN nr <= 10 THEN 1.0::DOUBLE / nr ELSE 0 END - CASE WHEN br <= 10 THEN 1.0::DOUBLE / br ELSE 0 END), 6) AS d_mrr FROM p GROUP BY fold)"""
@@ -315,9 +319,52 @@ def compare_regressions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qid", F.col("base_rank").cast("long").alias("base_rank"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
-@query("miss_buckets")
+WORDS_SQL = "len(list_filter(regexp_split_to_array({}, '[\\s\\x0b]+'), lambda w: w <> ''))"
+IDENTIFIER_SQL = "regexp_matches(text, '`[^`]+`|\\b[a-z]+_[a-z_]+\\b|\\b[a-z]+[A-Z][A-Za-z]+\\b|\\bdef \\w+|\\bclass \\w+')"
+
+
+@query("miss_buckets", f"""WITH {EVAL_SQL},
+rep AS (SELECT s.qid, s.gold_rank, q.text, {WORDS_SQL.format('q.text')} AS words, coalesce({WORDS_SQL.format('c.text')}, 0) AS gold_words, coalesce((SELECT bool_or(x.rank <= 10) FROM cand x WHERE x.qid = s.qid AND x.doc_id = g.gold), false) AS somewhere
+  FROM scored s JOIN gold g USING (qid) JOIN q USING (qid) LEFT JOIN corpus c ON c.doc_id = g.gold),
+cut AS (SELECT quantile_cont(words, 0.75) AS words FROM rep), miss AS (SELECT * FROM rep WHERE coalesce(gold_rank, 1000000) > 10),
+b AS (SELECT qid, 'candidate: absent from fused top100' AS bucket FROM miss WHERE coalesce(gold_rank, 1000000) > 100
+  UNION ALL SELECT qid, 'ranking: in top100, ranked >10' FROM miss WHERE gold_rank <= 100
+  UNION ALL SELECT qid, 'fusion loss: some source had it in top10' FROM miss WHERE somewhere
+  UNION ALL SELECT qid, 'long query (>p75 words)' FROM miss WHERE words > (SELECT words FROM cut)
+  UNION ALL SELECT qid, 'query has identifiers/starter code' FROM miss WHERE {IDENTIFIER_SQL}
+  UNION ALL SELECT qid, 'very short gold snippet (<15 words)' FROM miss WHERE gold_words < 15)
+SELECT bucket, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM miss), 1) AS percent, array_to_string((list(qid ORDER BY qid))[1:4], ' ') AS examples FROM b GROUP BY bucket""")
 def miss_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return report.miss_buckets(durable(_evaluated(spark, d, HYBRID).report), read_table(spark, d, "queries"))
+    """Why queries missed; the encoder of the configuration has no longest sequence, so nothing is truncated."""
+    found = report.miss_buckets(durable(_evaluated(spark, d, HYBRID).report), read_table(spark, d, "queries"))
+    return found.withColumn("examples", F.array_join("examples", " "))
+
+
+TRUNCATING = HYBRID | {"retrievers": [{"type": "dense", "model": "hash256", "max_seq_length": 60}]} | {"fusion": None}
+
+
+@query("report_truncation", f"""WITH {SPLIT_SQL}, gold AS (SELECT qid, min(doc_id) AS gold FROM j JOIN (SELECT qid, max(rel) AS rel FROM j GROUP BY qid) USING (qid, rel) GROUP BY qid),
+{token_ctes('dt', 'corpus', 'doc_id', 'text')}, {token_ctes('qt', 'q', 'qid', 'text')}, a AS (SELECT qid, sum(tf) AS n FROM qt GROUP BY qid), b AS (SELECT doc_id, sum(tf) AS n FROM dt GROUP BY doc_id)
+SELECT q.qid, CAST(CASE WHEN q.text IS NULL THEN NULL ELSE coalesce(a.n, 0) END AS INTEGER) AS query_tokens, CAST(coalesce(b.n, 0) AS INTEGER) AS gold_tokens, CASE WHEN q.text IS NULL THEN NULL ELSE coalesce(a.n, 0) > 60 END AS query_truncated, coalesce(b.n, 0) > 60 AS gold_truncated
+FROM q JOIN gold USING (qid) LEFT JOIN a USING (qid) LEFT JOIN b ON b.doc_id = gold""")
+def report_truncation(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts and truncation flags of an encoder that sees 60 tokens."""
+    rows = _evaluated(spark, d, TRUNCATING).report
+    return rows.select("qid", "query_tokens", "gold_tokens", "query_truncated", "gold_truncated")
+
+
+@query("metrics_official", f"""WITH {LATEST_SQL}, {RRF_SQL}, {JUDGED_SQL}, r AS (SELECT qid, doc_id, rank FROM run WHERE run_id = (SELECT min(run_id) FROM run)), ks AS (SELECT unnest([1, 3, 5, 10, 20, 100, 1000]) AS k),
+rel AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS i, count(*) OVER (PARTITION BY qid) AS total FROM j WHERE rel > 0),
+hit AS (SELECT qid, rank, rel, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM r JOIN rel USING (qid, doc_id)),
+g AS (SELECT t.qid, t.total, k, t.ideal, count(nth) AS hits, coalesce(sum(nth / rank), 0) AS ap, coalesce(sum(rel / log2(rank + 1)), 0) AS dcg, min(rank) AS best
+  FROM (SELECT qid, k, any_value(total) AS total, sum(rel / log2(i + 1)) FILTER (i <= k) AS ideal FROM rel, ks GROUP BY qid, k) t LEFT JOIN hit ON hit.qid = t.qid AND hit.rank <= k GROUP BY ALL)
+SELECT k, round(avg(dcg / ideal), 6) AS ndcg, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(ap / least(total, k)), 6) AS map, round(avg(hits / k), 6) AS precision, round(avg(hits / total), 6) AS recall, round(avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END), 6) AS accuracy FROM g GROUP BY k""")
+def metrics_official(spark: SparkSession, d: str) -> DataFrame:
+    """The official family of metrics, by cut-off, of the first run by name, its lists fused."""
+    lists = _lists(spark, d)
+    first = lists.agg(F.min("run_id")).first()[0]
+    run = durable(fusion.rrf(lists.filter(F.col("run_id") == first), ["run_id", "qid"], "doc_id"))
+    return metrics.official_metrics(run, _judged(spark, d))
 
 
 @query("sample_every_nth", """WITH o AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS pos, count(*) OVER () AS c FROM queries)

@@ -6,7 +6,6 @@ import resource
 import statistics
 import sys
 import time
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,18 +14,19 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.hashing import fold
 from loomwright.functions.text import is_contest_style, numeric_first
-from loomwright.functions.vectors import hash_embedding
 from loomwright.functions.views import VIEWS
 from loomwright.operators.bm25 import bm25_index, bm25_search
 from loomwright.operators.dense import dense_search
 from loomwright.operators.fusion import fuse
 from loomwright.operators.metrics import aggregate, bottleneck, judgments, per_query
-from loomwright.operators.report import query_report
+from loomwright.operators.report import query_report, with_token_lengths
 from loomwright.operators.topk import every_nth
+from loomwright.plans import encoders
 from loomwright.session import durable
 from loomwright.sources.jsonfiles import write_lines, write_result
 
-Encoder = Callable[[DataFrame, list[str], str, str], DataFrame]
+#: What `query_filter` may be, and the condition it stands for.
+FILTERS = {None: lambda text: F.lit(True), "stdio": is_contest_style}
 SPLITS = ("train", "valid", "test")
 
 
@@ -50,7 +50,12 @@ class Config:
         made = cls(**known, rest={k: v for k, v in config.items() if k not in known})
         if made.split not in SPLITS:
             raise ValueError(f"unknown split {made.split}")
+        if made.query_filter not in FILTERS:
+            raise ValueError(f"unknown query filter {made.query_filter}")
         names = [source_name(r) for r in made.retrievers]
+        for retriever in made.retrievers:
+            if retriever["type"] == "dense":
+                encoders.named(retriever["model"])
         if len(set(names)) < len(names):
             raise ValueError("two retrievers have one name; their results couldn't be told apart")
         return made
@@ -73,20 +78,34 @@ def load_split(queries: DataFrame, qrels: DataFrame, split: str) -> tuple[DataFr
     return asked, judged.join(queries.select("qid"), "qid", "left_semi")
 
 
-def hashed(df: DataFrame, keys: list[str], text: str, role: str) -> DataFrame:
-    """The encoder that needs no model; role (query or document) makes no difference to it."""
-    return hash_embedding(df, keys, text)
+def retrieve(spec: dict, corpus: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """(qid, source, doc_id, rank, score) of one retriever; its view applies to queries alone.
 
-
-def retrieve(spec: dict, corpus: DataFrame, queries: DataFrame, depth: int, encoder: Encoder) -> DataFrame:
-    """(qid, source, doc_id, rank, score) of one retriever; its view applies to queries alone."""
+    A dense retriever's model is looked up by name, and its max_seq_length and batch_size are passed on.
+    """
     viewed = queries.select("qid", VIEWS[spec.get("query_view", "raw")](F.col("text")).alias("text"))
     name = source_name(spec)
     if spec["type"] == "bm25":
         postings = bm25_index(corpus, "doc_id", "text", spec.get("k1", 1.2), spec.get("b", 0.75))
         return bm25_search(viewed, "qid", "text", postings, "doc_id", depth, name)
-    vectors = encoder(corpus.select("doc_id", "text"), ["doc_id"], "text", "document")
-    return dense_search(encoder(viewed, ["qid"], "text", "query"), "qid", vectors, "doc_id", "vec", depth, name)
+    model, length, batch = encoders.named(spec["model"]), spec.get("max_seq_length"), spec.get("batch_size", 32)
+    vectors = model.embed(corpus.select("doc_id", "text"), ["doc_id"], "text", "document", length, batch)
+    return dense_search(model.embed(viewed, ["qid"], "text", "query", length, batch), "qid", vectors, "doc_id", "vec", depth, name)
+
+
+def token_lengths(report: DataFrame, specs: list[dict], queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The report with token counts and truncation flags of the first dense retriever; as it is without one.
+
+    Counted are the raw texts. Nothing is truncated by a model without a longest sequence.
+    """
+    dense = [s for s in specs if s["type"] == "dense"]
+    if not dense:
+        return report
+    model = encoders.named(dense[0]["model"])
+    limit = dense[0].get("max_seq_length") or model.max_length
+    asked = queries.select("qid", model.count(F.col("text")).cast("int").alias("query_tokens"))
+    gold = corpus.select(F.col("doc_id").alias("gold"), model.count(F.col("text")).cast("int").alias("gold_tokens"))
+    return with_token_lengths(report, asked, gold, limit if limit is not None else (1 << 31) - 1)
 
 
 @dataclass
@@ -100,26 +119,25 @@ class Evaluation:
     report: DataFrame
 
 
-def evaluate(config: dict, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, encoder: Encoder = hashed) -> Evaluation:
+def evaluate(config: dict, corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> Evaluation:
     """All results of a configuration, lazily but for candidates and run, which are checkpointed since all else reads them."""
     c = Config.of(config)
     asked, judged = load_split(queries, qrels, c.split)
     if c.folds is not None:
         asked = asked.filter(fold(F.col("qid")).isin(c.folds))
-    if c.query_filter == "stdio":
-        asked = asked.filter(is_contest_style(F.col("text")))
+    asked = asked.filter(FILTERS[c.query_filter](F.col("text")))
     judged = judged.join(asked.select("qid"), "qid", "left_semi")
-    lists = [retrieve(spec, corpus, asked, c.depth, encoder) for spec in c.retrievers]
+    lists = [retrieve(spec, corpus, asked, c.depth) for spec in c.retrievers]
     candidates = durable(reduce(DataFrame.unionByName, lists))
     names = [source_name(spec) for spec in c.retrievers]
     run = durable(fuse(candidates, ["qid"], "doc_id", names, c.fusion))
     scored = per_query(run, judged)
     by_source = per_query(candidates, judged, ["source"])
-    report = query_report(run, candidates, scored, judged, asked, corpus)
+    report = token_lengths(query_report(run, candidates, scored, judged, asked, corpus), c.retrievers, asked, corpus)
     return Evaluation(candidates, run, scored, aggregate(scored), aggregate(by_source, ["source"]), bottleneck(scored), report)
 
 
-def latency_probe(config: dict, corpus: DataFrame, queries: DataFrame, encoder: Encoder = hashed) -> dict:
+def latency_probe(config: dict, corpus: DataFrame, queries: DataFrame) -> dict:
     """Milliseconds of single queries from end to end, the first one left out as warm-up; empty if the probe is 0 or less."""
     c = Config.of(config)
     if c.latency_probe <= 0:
@@ -130,7 +148,7 @@ def latency_probe(config: dict, corpus: DataFrame, queries: DataFrame, encoder:
     for row in sample:
         began = time.perf_counter()
         one = queries.filter(F.col("qid") == row["qid"])
-        lists = [retrieve(spec, corpus, one, c.depth, encoder) for spec in c.retrievers]
+        lists = [retrieve(spec, corpus, one, c.depth) for spec in c.retrievers]
         fuse(reduce(DataFrame.unionByName, lists), ["qid"], "doc_id", [source_name(s) for s in c.retrievers], c.fusion).count()
         times.append(1000 * (time.perf_counter() - began))
     times = times[1:]
