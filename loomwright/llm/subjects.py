@@ -18,6 +18,7 @@ SLOTS = 1 << 18
 MOST_SUBJECTS = 64
 MOST_LABELLED = 200_000
 MOST_ROUNDS, SETTLED, INNER = 12, 0.02, 8
+JOINS = 0.7
 DOCUMENTS_AT_ONCE = 2000
 LETTERS_AT_ONCE = 1 << 20
 
@@ -216,6 +217,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
         found = sums.groupBy("slot").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         fitted = np.zeros_like(h)
         fitted[found["slot"].to_numpy()] = found[columns].to_numpy()
+        _join(fitted[:SLOTS], k)
         fitted[:, :k] += 2 * fixed
         before, h = h, np.where(h > 0, fitted + 1e-6, 0.0)
         h /= np.maximum(h.sum(axis=0), 1e-30)
@@ -226,6 +228,19 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     return encoded.mapInArrow(_shares(final, own, used), schema).withColumn("share", F.col("count") / F.col("units"))
 
 
+def _join(mass: np.ndarray, k: int) -> None:
+    """Leave a term nobody labelled in a subject only if the subject has JOINS of its mass; the rest is background.
+
+    Without this, words of all texts drift into the subjects a few labels describe badly, and take others with them.
+    """
+    total = mass.sum(axis=1, keepdims=True) + 1e-30
+    loose = np.where(mass[:, :k] < JOINS * total, mass[:, :k], 0.0)
+    mass[:, :k] -= loose
+    rest = mass[:, k:]
+    shares = np.where(rest.sum(axis=1, keepdims=True) > 0, rest / (rest.sum(axis=1, keepdims=True) + 1e-30), 1 / BACKGROUND)
+    rest += loose.sum(axis=1, keepdims=True) * shares
+
+
 def _anchors(encoded: DataFrame, clean: DataFrame, names: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchored terms, ascending; their weights by subject) from the labelled documents, of which `most` at most count."""
     held = encoded.join(clean.select("doc_id").distinct(), "doc_id", "left_semi")
