@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from loomwright.operators import extract, indexing, versions
 from loomwright.operators.history import entity_history
 from loomwright.operators.snapshot_diff import snapshot_changes
 from loomwright.plans.sql import bm25_ctes, dense_ctes, hash_ctes, token_ctes
-from loomwright.session import durable
+from loomwright.plans.encoders import HASH
+from loomwright.session import checkpoint_dir, durable
+from loomwright.sources.jsonfiles import read_labels, write_lines
+from loomwright.sources.store import SnapshotStore
 from loomwright.sources.tables import read_table
 
 
@@ -192,12 +197,12 @@ def history_diffs(spark: SparkSession, d: str) -> DataFrame:
     return versions.version_diffs(found, read_table(spark, d, "contents"))
 
 
-def search_sql(documents: str, key: str, k: int, depth: int) -> str:
-    """CTEs that end in `hits`(qid, key, score, rank) of fused search; documents has (key, words, code)."""
-    return f"""{token_ctes('wt', documents, key, 'words')}, {token_ctes('ct', documents, key, 'code')}, {token_ctes('qt', 'queries', 'qid', 'text')},
-{hash_ctes('dh', 'ct', key)}, {hash_ctes('qh', 'qt', 'qid')}, {dense_ctes('dense', documents, key, 'queries', 'dh', 'qh', depth)}, {bm25_ctes('lex', documents, key, 'wt', 'qt', k=depth)},
-fused AS (SELECT qid, {key}, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT qid, {key}, rank FROM dense UNION ALL SELECT qid, {key}, rank FROM lex) GROUP BY qid, {key}),
-hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM fused) WHERE rank <= {k})"""
+def search_sql(documents: str, key: str, k: int, depth: int, queries: str = "queries", p: str = "") -> str:
+    """CTEs that end in `<p>hits`(qid, key, score, rank) of fused search; documents has (key, words, code)."""
+    return f"""{token_ctes(p + 'wt', documents, key, 'words')}, {token_ctes(p + 'ct', documents, key, 'code')}, {token_ctes(p + 'qt', queries, 'qid', 'text')},
+{hash_ctes(p + 'dh', p + 'ct', key)}, {hash_ctes(p + 'qh', p + 'qt', 'qid')}, {dense_ctes(p + 'dense', documents, key, queries, p + 'dh', p + 'qh', depth)}, {bm25_ctes(p + 'lex', documents, key, p + 'wt', p + 'qt', k=depth)},
+{p}fused AS (SELECT qid, {key}, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT qid, {key}, rank FROM {p}dense UNION ALL SELECT qid, {key}, rank FROM {p}lex) GROUP BY qid, {key}),
+{p}hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM {p}fused) WHERE rank <= {k})"""
 
 
 HEAD_SQL = f"{KNOWN_SQL}, hd AS (SELECT * FROM k WHERE mode = 'incremental' ORDER BY seq DESC, repo LIMIT 1)"
@@ -229,21 +234,113 @@ def search_history(spark: SparkSession, d: str) -> DataFrame:
     return _history_hits(spark, d)
 
 
-LABEL_SQL = """l AS (SELECT content_key AS id, qid, symbol, content_key AS gold FROM (SELECT qid, content_key, symbol, row_number() OVER (PARTITION BY content_key ORDER BY qid) AS n FROM hits JOIN own USING (content_key)) WHERE n = 1),
-r AS (SELECT l.id, min(hits.rank) FILTER (hits.content_key = gold) AS history_rank, min(hits.rank) FILTER (own.symbol = l.symbol AND hits.content_key <> gold) AS rival FROM l JOIN hits USING (qid) JOIN own ON own.content_key = hits.content_key GROUP BY l.id)"""
+LABELLED_SQL = f"""WITH {HISTORY_SQL}, hd AS (SELECT * FROM k WHERE mode = 'incremental' ORDER BY seq DESC, repo LIMIT 1),
+o AS (SELECT * FROM (SELECT DISTINCT occ_key FROM memberships WHERE snapshot_id = (SELECT snapshot_id FROM hd)) JOIN occurrences USING (occ_key) JOIN contents USING (content_key)),
+l AS (SELECT symbol AS qid, symbol, any_value(content_key) AS gold, any_value(path) || ' ' || symbol || ' ' || coalesce(array_to_string(any_value(callees), ' '), '') AS text FROM o GROUP BY symbol HAVING count(*) = 1),
+own AS (SELECT * FROM near WHERE repo = (SELECT repo FROM hd)), docs AS (SELECT content_key, path || ' ' || symbol || chr(10) || code AS words, code FROM own JOIN contents USING (content_key)),
+odocs AS (SELECT occ_key, path || ' ' || symbol || chr(10) || code AS words, code FROM o),
+{search_sql('docs', 'content_key', 10, 200, 'l')}, {search_sql('odocs', 'occ_key', 10, 100, 'l', 's')},
+a AS (SELECT l.qid, min(rank) FILTER (content_key = gold) AS history_rank, min(rank) FILTER (own.symbol = l.symbol AND content_key <> gold) AS rival FROM l LEFT JOIN (hits JOIN own USING (content_key)) ON hits.qid = l.qid GROUP BY l.qid),
+b AS (SELECT l.qid, min(rank) FILTER (o.symbol = l.symbol) AS snapshot_rank FROM l LEFT JOIN (shits JOIN o USING (occ_key)) ON shits.qid = l.qid GROUP BY l.qid),
+r AS (SELECT qid AS id, history_rank, coalesce(history_rank IS NOT NULL AND (rival IS NULL OR history_rank < rival), false) AS version_correct, snapshot_rank FROM a JOIN b USING (qid))"""
+
+
+def _labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labels (repo, id, query, symbol, commit) written as a label file and read back, and the listing they are about.
+
+    A label asks for the version of a function at the last commit of the longest history, by path, name and callees;
+    functions whose name the commit has several times can't be labelled.
+    """
+    snapshots, memberships, occurrences, contents = _tables(spark, d, "snapshots", "memberships", "occurrences", "contents")
+    head = _head(snapshots)
+    listed = durable(versions.snapshot_occurrences(memberships, occurrences, contents, F.col("snapshot_id") == head["snapshot_id"]))
+    once = listed.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.first("path").alias("path"), F.first("callees").alias("callees")).filter("n = 1")
+    text = F.concat("path", F.lit(" "), "symbol", F.lit(" "), F.coalesce(F.array_join("callees", " "), F.lit("")))
+    made = once.select(F.lit(head["repo"]).alias("repo"), F.struct(F.col("symbol").alias("id"), text.alias("query"), "symbol", F.lit(head["commit_sha"]).alias("commit")).alias("q"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    write_lines(made.groupBy("repo").agg(F.collect_list("q").alias("queries")), path)  # functions of one commit
+    return read_labels(spark, path), listed
+
 
+@query("labels_gold", f"{LABELLED_SQL} SELECT qid AS id, gold FROM l")
+def labels_gold(spark: SparkSession, d: str) -> DataFrame:
+    """The one content that each label means."""
+    labels, listed = _labels(spark, d)
+    asked = labels.withColumn("snapshot_id", F.lit(_head(read_table(spark, d, "snapshots"))["snapshot_id"]))
+    return versions.version_labels(asked, listed.select("snapshot_id", "symbol", "content_key")).select("id", "gold")
 
-@query("versions_ranked", f"{HISTORY_SEARCH_SQL}, {LABEL_SQL} SELECT id, history_rank, rival IS NULL OR history_rank < rival AS version_correct FROM r")
+
+@query("versions_ranked", f"{LABELLED_SQL} SELECT id, history_rank, version_correct, snapshot_rank FROM r")
 def versions_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Rank of a gold version for a query: here each found content is the gold one of the first query that finds it."""
-    hits = durable(_history_hits(spark, d))
-    labels = hits.groupBy(F.col("content_key").alias("id")).agg(F.min("qid").alias("qid"), F.min("symbol").alias("symbol"), F.min("content_key").alias("gold"))
-    return versions.version_ranks(labels, hits)
+    """Ranks of labelled versions in the history and in their snapshot; a gold version may well not be found."""
+    labels, listed = _labels(spark, d)
+    labels = durable(labels)
+    snapshots, contents = _tables(spark, d, "snapshots", "contents")
+    head = _head(snapshots)
+    marked = labels.select("id", F.col("id").alias("qid"), "symbol", F.lit(head["snapshot_id"]).alias("snapshot_id"))
+    gold = durable(versions.version_labels(marked, listed.select("snapshot_id", "symbol", "content_key")))
+    asked = labels.select(F.col("id").alias("qid"), F.col("query").alias("text"))
+    rows = durable(_history(spark, d).filter(F.col("repo") == head["repo"]))
+    past = versions.version_ranks(gold, versions.history_search(rows, contents, asked))
+    return past.join(versions.snapshot_ranks(gold, versions.snapshot_search(listed, asked)), "id")
 
 
-@query("versions_summary", f"{HISTORY_SEARCH_SQL}, {LABEL_SQL} SELECT count(*) AS labels, round(avg(1.0::DOUBLE / history_rank), 4) AS mrr, count(*) FILTER (history_rank = 1) AS hit_1, count(*) FILTER (history_rank <= 5) AS hit_5, count(*) FILTER (rival IS NULL OR history_rank < rival) AS version_correct FROM r")
+@query("versions_summary", f"""{LABELLED_SQL} SELECT count(*) AS labels, round(avg(coalesce(1.0::DOUBLE / history_rank, 0)), 4) AS mrr, count(*) FILTER (history_rank = 1) AS hit_1, count(*) FILTER (history_rank <= 5) AS hit_5, count(*) FILTER (version_correct) AS version_correct,
+round(avg(coalesce(1.0::DOUBLE / snapshot_rank, 0)), 4) AS snapshot_mrr, count(*) FILTER (snapshot_rank = 1) AS snapshot_hit_1, count(*) FILTER (snapshot_rank <= 5) AS snapshot_hit_5 FROM r""")
 def versions_summary(spark: SparkSession, d: str) -> DataFrame:
-    return versions.version_summary(versions_ranked(spark, d))
+    ranks = durable(versions_ranked(spark, d))
+    now = versions.rank_summary(ranks, "snapshot_rank").select(*(F.col(c).alias(f"snapshot_{c}") for c in ("mrr", "hit_1", "hit_5")))
+    return versions.version_summary(ranks).join(now)  # one row each
+
+
+HEAD_LISTING_SQL = f"{HEAD_SQL}, o AS (SELECT * FROM (SELECT DISTINCT occ_key FROM memberships WHERE snapshot_id = (SELECT snapshot_id FROM hd)) JOIN occurrences USING (occ_key) JOIN contents USING (content_key))"
+
+
+def _published(spark: SparkSession, d: str) -> tuple[SnapshotStore, str, DataFrame]:
+    """A new store with the last snapshot of the longest history, published twice under a name with a slash."""
+    snapshots, memberships, occurrences, contents = _tables(spark, d, "snapshots", "memberships", "occurrences", "contents")
+    head = _head(snapshots)
+    listed = versions.snapshot_occurrences(memberships, occurrences, contents, F.col("snapshot_id") == head["snapshot_id"])
+    store = SnapshotStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    snippets = store.add_snippets(listed.select("path", "symbol", "start_line", "end_line", "code", "callees"))
+    name = f"owner/{head['repo']}"
+    for _ in range(2):
+        store.add_snippets(listed.select("path", "symbol", "start_line", "end_line", "code", "callees"))
+        store.publish(f"{name}@{head['commit_sha'][:12]}:incremental", name, head["commit_sha"], None, "incremental", snippets, {"snippets": 1})
+    return store, store.snapshot_id_for(name, head["commit_sha"]), listed
+
+
+@query("store_publish", f"WITH {HEAD_LISTING_SQL} SELECT occ_key, content_key, path, symbol, length(code) AS size, 0 AS seq FROM o")
+def store_publish(spark: SparkSession, d: str) -> DataFrame:
+    """What a store reads back of a snapshot: inserted and published twice, it is there once, with its first seq."""
+    store, snapshot, _ = _published(spark, d)
+    rows = versions.snapshot_occurrences(*(store.table(t) for t in ("membership", "occurrence", "content")), F.col("snapshot_id") == snapshot)
+    return rows.join(store.snapshots(store.table("snapshot").first()["repo"]).select("snapshot_id", "seq"), "snapshot_id").select("occ_key", "content_key", "path", "symbol", F.length("code").cast("long").alias("size"), "seq")
+
+
+@query("store_embed", f"WITH {HEAD_LISTING_SQL}, docs AS (SELECT DISTINCT content_key, code FROM o), {token_ctes('ct', 'docs', 'content_key', 'code')}, {hash_ctes('h', 'ct', 'content_key')} SELECT content_key, slot, round(v, 6) AS value FROM h")
+def store_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors kept by content: computed once, the second call finds them all."""
+    store, _, listed = _published(spark, d)
+    recipe = HASH.recipe("document")
+
+    def encode(fresh: DataFrame) -> DataFrame:
+        return HASH.embed(fresh, ["content_key"], "code", "document")
+
+    store.embed(listed.select("content_key", "code"), recipe, encode)
+    found, new = store.embed(listed.select("content_key", "code"), recipe, encode)
+    if new:
+        raise AssertionError(f"{new} vectors were computed twice")
+    return found.select("content_key", F.posexplode("vec").alias("slot", "value")).filter("value != 0").withColumn("value", F.round("value", 6))
+
+
+@query("json_lines", "SELECT occ_key, path, symbol, start_line, array_to_string(callees, ' ') AS callees FROM occurrences")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences written as JSON lines, NULL fields included, and read back."""
+    rows = read_table(spark, d, "occurrences")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    write_lines(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("occ_key", "path", "symbol", "start_line", F.array_join("callees", " ").alias("callees"))
 
 
 PAIRS_SQL = """s AS (SELECT DISTINCT snapshot_id, repo, mode, commit_sha, parent_sha FROM snapshots WHERE mode = 'incremental'),
@@ -297,16 +394,24 @@ def index_new_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return own.select("snapshot_id", "occ_key").subtract(before.select("snapshot_id", "occ_key")).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("added"))
 
 
-@query("index_full_differs", f"""WITH {KNOWN_SQL}, m AS (SELECT DISTINCT repo, commit_sha, mode, occ_key FROM memberships JOIN k USING (snapshot_id)), b AS (SELECT repo, commit_sha FROM k GROUP BY ALL HAVING count(DISTINCT mode) = 2)
-SELECT repo, commit_sha, count(*) AS differing FROM (SELECT repo, commit_sha, occ_key FROM m JOIN b USING (repo, commit_sha) GROUP BY ALL HAVING count(DISTINCT mode) = 1) GROUP BY repo, commit_sha""")
+@query("index_full_differs", f"""WITH {KNOWN_SQL}, m AS (SELECT DISTINCT snapshot_id, occ_key FROM memberships), p AS (SELECT DISTINCT c.snapshot_id AS one, b.snapshot_id AS two FROM k c JOIN k b ON c.repo = b.repo AND c.snapshot_id <> b.snapshot_id AND (c.commit_sha = b.commit_sha AND c.mode < b.mode OR c.mode = b.mode AND c.parent_sha = b.commit_sha)),
+x AS (SELECT one, two, occ_key FROM p JOIN m ON snapshot_id = one), y AS (SELECT one, two, occ_key FROM p JOIN m ON snapshot_id = two)
+SELECT one, two, count(*) FILTER (b IS NULL) AS only_one, count(*) FILTER (a IS NULL) AS only_two FROM (SELECT one, two, x.occ_key AS a, y.occ_key AS b FROM x FULL JOIN y USING (one, two, occ_key)) WHERE a IS NULL OR b IS NULL GROUP BY one, two""")
 def index_full_differs(spark: SparkSession, d: str) -> DataFrame:
-    """Commits whose incremental and full listings differ, with the number of occurrences that only one has."""
-    known = versions.known_snapshots(read_table(spark, d, "snapshots")).select("snapshot_id", "repo", "commit_sha", "mode")
-    both = known.groupBy("repo", "commit_sha").agg(F.count_distinct("mode").alias("n")).filter("n = 2").select("repo", "commit_sha")
-    rows = durable(read_table(spark, d, "memberships").join(known, "snapshot_id").join(both, ["repo", "commit_sha"]).select("repo", "commit_sha", "mode", "occ_key").distinct())
-    one, two = (rows.filter(F.col("mode") == m).drop("mode") for m in ("incremental", "full"))
-    differing = one.exceptAll(two).unionByName(two.exceptAll(one))
-    return differing.groupBy("repo", "commit_sha").agg(F.count(F.lit(1)).alias("differing"))
+    """Pairs of snapshots whose listings differ, with the occurrences that only one has.
+
+    Compared are the full and the incremental listing of a commit, and each snapshot with its parent's of its mode; in
+    the given tables the first never differ.
+    """
+    known = versions.known_snapshots(read_table(spark, d, "snapshots")).select("snapshot_id", "repo", "commit_sha", "parent_sha", "mode")
+    other = known.select("repo", F.col("commit_sha").alias("other_commit"), F.col("mode").alias("other_mode"), F.col("snapshot_id").alias("two"))
+    same_commit = known.join(other.withColumnRenamed("other_commit", "commit_sha"), ["repo", "commit_sha"]).filter("mode < other_mode")
+    parent = known.join(other.withColumnsRenamed({"other_commit": "parent_sha", "other_mode": "mode"}), ["repo", "mode", "parent_sha"])
+    pairs = durable(same_commit.select(F.col("snapshot_id").alias("one"), "two").unionByName(parent.select(F.col("snapshot_id").alias("one"), "two")).filter("one != two").distinct())
+    listed = read_table(spark, d, "memberships").distinct()
+    sides = [pairs.join(listed.withColumnRenamed("snapshot_id", s), s).select("one", "two", "occ_key") for s in ("one", "two")]
+    apart = [x.subtract(y).withColumn("side", F.lit(n)) for n, (x, y) in enumerate((sides, sides[::-1]))]
+    return apart[0].unionByName(apart[1]).groupBy("one", "two").agg(F.count_if(F.col("side") == 0).alias("only_one"), F.count_if(F.col("side") == 1).alias("only_two"))
 
 
 @query("index_numbered_symbols", "SELECT path, CASE WHEN n > 1 THEN symbol || '#' || n ELSE symbol END AS symbol, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY path, symbol ORDER BY start_line, end_line) AS n FROM (SELECT DISTINCT path, symbol, start_line, end_line FROM occurrences))")

@@ -28,6 +28,32 @@ def test_evaluate_compare_and_misses(spark, small, tmp_path, capsys):
     assert {(r["query_truncated"], r["gold_truncated"]) for r in flagged.collect()} == {(True, None)}
 
 
+def test_asking_and_indexing(spark, small, tmp_path, capsys):
+    import subprocess
+
+    config = {"run_id": "a", "retrievers": [{"type": "bm25"}], "fusion": None, "depth": 20}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    qid = read_table(spark, small, "queries").filter("text != ''").first()["qid"]
+    run.main(["ask", "--qid", qid, "--config", str(tmp_path / "c.json"), "--data", small, "-k", "3"])
+    run.main(["ask", "read two numbers", "--config", str(tmp_path / "c.json"), "--data", small, "-k", "3"])
+    folder = tmp_path / "repository"
+    folder.mkdir()
+    for name in ("lib", "test"):
+        (folder / name).mkdir()
+        (folder / name / "a.js").write_text(f"function handle{name}(error) {{ return error.message; }}\n")
+    for command in (["init", "-q"], ["add", "."], ["-c", "user.name=a", "-c", "user.email=a@b", "commit", "-q", "-m", "x"]):
+        subprocess.run(["git", "-C", str(folder), *command], check=True)
+    run.main(["index", str(folder), "--store", str(tmp_path / "s"), "--name", "o/n", "--include", "lib/", "--verify", "--out", str(tmp_path / "i.json")])
+    summary = json.loads((tmp_path / "i.json").read_text())
+    assert summary["snippets_at_head"] == 1 and summary["verify"]["mismatches"] == [] and summary["distinct_contents_embedded"] == 1
+    commit = subprocess.run(["git", "-C", str(folder), "rev-parse", "HEAD"], capture_output=True, text=True).stdout.strip()
+    (tmp_path / "l.json").write_text(json.dumps({"repo": "o/n", "queries": [{"id": "1", "query": "handle lib error", "symbol": "handlelib", "commit": commit}]}))
+    run.main(["versions", str(tmp_path / "l.json"), "--store", str(tmp_path / "s"), "--out", str(tmp_path / "v")])
+    assert json.loads((tmp_path / "v/summary.json").read_text())["history"]["hit_1"] == 1
+    run.main(["search", "handle error", "--store", str(tmp_path / "s"), "--name", "o/n", "--history"])
+    assert "handlelib" in capsys.readouterr().out
+
+
 def test_configurations_are_checked(spark, small, tmp_path):
     good = {"run_id": "a", "retrievers": [{"type": "bm25"}], "extra": 1}
     assert Config.of(good).depth == 200 and Config.of(good).rest == {"extra": 1}

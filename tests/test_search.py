@@ -125,3 +125,49 @@ def test_every_nth(spark):
     df = spark.createDataFrame([(i,) for i in range(23)], "i int")
     assert [r["i"] for r in topk.every_nth(df, [F.col("i")], 5).orderBy("i").collect()] == [0, 4, 8, 12, 16]
     assert topk.every_nth(df, [F.col("i")], 0).count() == 0
+
+
+def test_positions_and_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from loomwright.operators.order import positions, running
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randint(1, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, w int")
+    got = {(r["g"], r["i"]): (r["upto"], r["whole"]) for r in running(df, ["g"], [F.desc("i")], "w", rows_per_block=20).collect()}
+    assert got == {(g, i): (sum(w for h, j, w in rows if h == g and j >= i), sum(w for h, _, w in rows if h == g)) for g, i, _ in rows}
+    places = {r["i"]: r["place"] for r in positions(df, [F.col("w"), F.desc("i")], rows_per_block=20).collect()}
+    assert places == {i: n for n, (_, i, _) in enumerate(sorted(rows, key=lambda r: (r[2], -r[1])), 1)}
+    assert positions(df.limit(0), [F.col("i")]).count() == 0
+
+
+def test_encoders(spark):
+    from pyspark.sql import functions as F
+
+    from loomwright.functions.vectors import hash_embedding
+    from loomwright.plans import encoders
+    from loomwright.plans.evaluate import Config
+
+    with pytest.raises(ValueError, match="unknown model"):
+        encoders.named("none")
+    with pytest.raises(ValueError, match="unknown model"):
+        Config.of({"run_id": "a", "retrievers": [{"type": "dense", "model": "none"}]})
+    with pytest.raises(ValueError, match="unknown query filter"):
+        Config.of({"run_id": "a", "retrievers": [{"type": "bm25"}], "query_filter": "x"})
+    own = encoders.Encoder("own", encoders.hash256, F.length, query_prompt="query: ", document_prompt="passage: ", max_length=3, query_hook=F.upper)
+    assert encoders.register(own) is encoders.named("own") and len({own.recipe(r, v) for r in encoders.ROLES for v in ("raw", "core")}) == 4
+    df = spark.createDataFrame([("1", "alpha beta gamma delta")], "id string, text string")
+    for role, seen in (("query", "query ALPHA BETA"), ("document", "passage alpha beta")):
+        want = hash_embedding(spark.createDataFrame([("1", seen)], "id string, text string"), ["id"], "text").first()["vec"]
+        assert own.embed(df, ["id"], "text", role).first()["vec"] == pytest.approx(want)
+    with pytest.raises(ValueError, match="unknown role"):
+        own.embed(df, ["id"], "text", "other")
+
+
+def test_official_metrics_by_hand(spark):
+    run = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2), ("q2", "x", 1)], "qid string, doc_id string, rank int")
+    qrels = spark.createDataFrame([("q1", "b", 1), ("q1", "c", 2), ("q2", "x", 1)], "qid string, doc_id string, rel int")
+    got = {r["k"]: r for r in metrics.official_metrics(run, qrels).collect()}
+    assert got[1]["ndcg"] == 0.5 and got[1]["accuracy"] == 0.5 and got[1]["mrr"] == 0.5
+    assert got[3]["mrr"] == 0.75 and got[3]["ndcg"] == round((1 + (1 / math.log2(3)) / (2 + 1 / math.log2(3))) / 2, 6) and got[3]["recall"] == 0.75

@@ -1,6 +1,7 @@
 import difflib
 import random
 import subprocess
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,62 @@ def test_stream_of_changes(spark, tmp_path):
     assert sizes == [2, 2, 0]
 
 
+def test_stream_filters_holds_and_embeds(spark, tmp_path):
+    from loomwright.streaming.commits import CHANGES, index_stream
+
+    rows = [("o/r", "c1", None, "A", None, "a.js", SCRIPT_ONE), ("o/r", "c1", None, "A", None, "README.md", "x"), ("o/r", "c1", None, "A", None, "node_modules/b.js", TOOLS), ("o/r", "c3", "c2", "A", None, "c.js", TOOLS), ("o/s", "d1", None, "A", None, "a.js", TOOLS)]
+    late = [("o/r", "c2", "c1", "M", "a.js", "a.js", SCRIPT_TWO), ("o/r", "c9", "c8", "A", None, "z.js", TOOLS)]
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    sizes = []
+    for n, part in enumerate((rows, late)):
+        spark.createDataFrame(part, CHANGES).coalesce(1).write.mode("append").json(str(tmp_path / "feed"))
+        index_stream(spark.readStream.schema(CHANGES).json(str(tmp_path / "feed")), store, str(tmp_path / "check")).awaitTermination()
+        sizes.append({r["commit_sha"]: (r["seq"], sorted({x["path"] for x in store.listing(r["snapshot_id"]).collect()})) for name in ("o/r", "o/s") for r in store.snapshots(name).collect()})
+    assert sizes[0] == {"c1": (0, ["a.js"]), "d1": (0, ["a.js"])}
+    assert sizes[1] == sizes[0] | {"c2": (1, ["a.js"]), "c3": (2, ["a.js", "c.js"])}
+    assert {r["commit_sha"] for r in store.table("held").collect()} == {"c9"}
+    assert store.table("embedding").count() == store.table("content").count() > 0
+
+
+def test_listings_can_be_replaced(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    keys = spark.createDataFrame([("k1",), ("k2",)], "occ_key string")
+    assert [store.publish("a/b@1:incremental", "a/b", "1", None, "incremental", keys, {}), store.publish("a/b@2:incremental", "a/b", "2", "1", "incremental", keys, {})] == [0, 1]
+    assert store.publish("a/b@1:incremental", "a/b", "1", None, "incremental", keys.limit(0), {}) == 0
+    left = {(r["snapshot_id"], r["occ_key"]) for r in store.table("membership").collect()}
+    assert left == {("a/b@2:incremental", "k1"), ("a/b@2:incremental", "k2")}
+
+
+def test_changes_per_window(spark, tmp_path):
+    from loomwright.streaming.commits import changes_per_window
+
+    rows = [("r", "2024-01-01 00:10:00"), ("r", "2024-01-01 00:50:00"), ("s", "2024-01-01 01:10:00"), ("r", "2024-01-02 00:00:00")]
+    spark.createDataFrame(rows, "repo string, at string").coalesce(1).write.json(str(tmp_path / "feed"))
+    feed = spark.readStream.schema("repo string, at string").json(str(tmp_path / "feed"))
+    query = changes_per_window(feed, "at").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((str(r["start"]), r["repo"], r["changes"]) for r in spark.table("windows").collect())
+    assert got == [("2024-01-01 00:00:00", "r", 2), ("2024-01-01 01:00:00", "s", 1), ("2024-01-02 00:00:00", "r", 1)]
+
+
+def test_labelled_versions(spark, indexed):
+    from loomwright.plans.searcher import Searcher, evaluate_versions
+
+    store, made, ids, _ = indexed
+    searcher = Searcher(store)
+    labels = spark.createDataFrame([("r", "1", "verify digest matches stored", "verify", made[1]), ("r", "2", "box get", "Box.get", made[0])], "repo string, id string, query string, symbol string, commit string")
+    rows, summary = evaluate_versions(searcher, labels)
+    got = {r["id"]: r for r in rows.collect()}
+    assert got["1"]["version_correct"] and got["1"]["history_rank"] == 1 and got["1"]["snapshot_rank"] == 1 and got["1"]["n_versions"] == 2
+    assert summary["labels"] == 2 and summary["snapshot"]["hit_5"] == 2 and summary["history"]["p50_ms"] > 0
+    with pytest.raises(ValueError, match="not indexed"):
+        evaluate_versions(searcher, labels.withColumn("commit", F.lit("none")))
+    before = searcher.prepare(ids[1][0])
+    assert searcher.prepare(ids[1][0]) is before
+    hits = searcher.retrieve_history(spark.createDataFrame([("q", "verify given secret")], "qid string, text string"), "r", 5).collect()
+    assert any(h["symbol"] == "verify" and h["diff"].startswith("--- src/door.js@") for h in hits)
+
+
 def test_change_actions(spark):
     feed = [("R090", "a", "b"), ("C080", "a", "c"), ("D", "d", None), ("M", "e", "e"), ("A", None, "f")]
     got = {tuple(r) for r in indexing.change_actions(spark.createDataFrame(feed, "status string, old_path string, new_path string")).collect()}
@@ -204,6 +261,14 @@ def test_entity_history_equals_brute_force(spark, seed):
     assert got == sorted(str(kind(*w)) for w in want)
 
 
+def test_colliding_entries_are_told_apart_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(snapshot_diff, "MOST_ROUNDS", 1)
+    rows = [("s1", f"p{i}", "f", "1", "x") for i in range(200)] + [("s2", f"q{i}", "f", "1", "x") for i in range(200)]
+    frames = spark.createDataFrame(rows, LISTING), spark.createDataFrame([("s2", "s1")], "snapshot string, parent string")
+    got = Counter(r["change"] for r in snapshot_changes(*frames, "snapshot", "parent", ["path", "symbol"], "value", keys_per_bucket=400, cells=3).collect())
+    assert got == {"added": 200, "removed": 200}
+
+
 @pytest.mark.parametrize("cells", [3, 24])
 def test_snapshot_changes_equal_brute_force(spark, cells):
     _, listing = random_history(5)
