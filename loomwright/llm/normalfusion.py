@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.ranks import running, same
+from loomwright.operators.order import running, same
 from loomwright.session import durable
 
 HOT_ROWS = 200_000
@@ -59,7 +59,7 @@ def normal_scores(rows: DataFrame, ks: list[str], hot: DataFrame | None) -> Data
 
     rows: _named. A score's percentile is (rank - 1/2) / n, equal scores sharing their mean rank; so a list of equal
     scores has z = 0 throughout. Rows are shuffled once, by group; lists are sorted there. The lists of `hot` groups
-    are ranked in ranges over all tasks (ranks.running), equal scores counted first.
+    are ranked in ranges over all tasks (order.running), equal scores counted first.
     """
     cold = rows if hot is None else rows.alias("r").join(hot.alias("h"), same(["g", *ks], "r", "h"), "left_anti")
     lists = Window.partitionBy("g", *ks, "source")
@@ -107,7 +107,7 @@ def fuse_normal_scores(df: DataFrame, keys: list[str], source: str, item: str, s
 
     Scale: rows are shuffled by group once for normal scores, which are stored, and once for fusion. Groups of more
     than hot_rows rows go another way with the same result: every step of it is keyed by (list, score) or (group, item),
-    pre-aggregated, or cut into ranges (ranks.running), so a group with a third of all rows is no task of its own.
+    pre-aggregated, or cut into ranges (order.running), so a group with a third of all rows is no task of its own.
     """
     ks = [f"k{i}" for i in range(len(keys))]
     group = ["g", *ks]

@@ -35,6 +35,32 @@ def _chunk_batches(window: int, divisor: int, k: int):
     return run
 
 
+def cut_records(records: DataFrame, k: int = 4, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """(space, id, train, held, sequence, words, chunks, lengths, runs) of records (space, id, text, train, held), stored.
+
+    Content-defined chunks with their summed lengths in words, runs of k words, and a digest of the sequence of words. NULL
+    flags are false; rows in neither split, or with a NULL space or id, are left out.
+    """
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("train", "held")]
+    source = records.select(F.col("space").cast("string").alias("space"), F.col("id").cast("string").alias("id"), "text", *flags).filter("space IS NOT NULL AND id IS NOT NULL AND (train OR held)")
+    schema = "space string, id string, train boolean, held boolean, sequence long, words long, chunks array<long>, lengths array<long>, runs array<long>"
+    return durable(source.mapInArrow(_chunk_batches(window, divisor, k), schema))
+
+
+def record_shares(cut: DataFrame) -> DataFrame:
+    """(space, id, train, held, chunk_share, run_share) of cut records: how much of each is in the training split.
+
+    chunk_share is the summed length of the record's chunks that another training record has, divided by its words;
+    run_share the same of its runs. Both are 0 without words or runs. Chunks are counted per digest and joined on it, so
+    copies cost a row each, however many records share a chunk.
+    """
+    chunks = F.arrays_zip(F.col("chunks").alias("part"), F.col("lengths").alias("length"))
+    runs = F.transform("runs", lambda r: F.struct(r.alias("part"), F.lit(1).cast("long").alias("length")))
+    shares = _shared(cut, chunks, "chunk_length").join(_shared(cut, runs, "run_length"), ["space", "id"], "full")
+    share = [F.coalesce(F.round(F.col(f"{c}_length") / F.col(of), 9), F.lit(0.0)).alias(f"{c}_share") for c, of in (("chunk", "words"), ("run", "n"))]
+    return cut.select("space", "id", "train", "held", "words", F.size("runs").alias("n")).join(shares, ["space", "id"], "left").select("space", "id", "train", "held", *share)
+
+
 def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4, window: int = WINDOW, divisor: int = DIVISOR) -> tuple[DataFrame, DataFrame]:
     """Pairs of different records, one in the training split and one in an evaluation split, that overlap.
 
@@ -51,7 +77,7 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4,
     expanded into pairs here.
 
     Method: records are cut by content, chunks' digests are joined across the splits, and the lengths of shared chunks
-    are summed up per record. That tells how much of a record is in the other split, but chunks prove no pair: an edit
+    are summed up per record (record_shares). That tells how much of a record is in the other split, but chunks prove no pair: an edit
     in every chunk hides one. So for pairs the cut is as fine as it can be, behind every word: a record with n distinct runs of k words is the smaller of a pair only if the other record has at least
     `threshold` * n of them, rounded up. So all but that many, less one, of its runs are looked up among all runs of
     the records with at least as many runs, and none of its pairs can be missed. The runs left out are those that
@@ -62,16 +88,11 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.6, k: int = 4,
     looked up only by records that consist of such runs. All joins are on (space, run) or (space, id) and can be split
     by adaptive skew handling; nothing is collected or broadcast by hint.
     """
-    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("train", "held")]
-    source = records.select(F.col("space").cast("string").alias("space"), F.col("id").cast("string").alias("id"), "text", *flags).filter("space IS NOT NULL AND id IS NOT NULL AND (train OR held)")
-    schema = "space string, id string, train boolean, held boolean, sequence long, words long, chunks array<long>, lengths array<long>, runs array<long>"
-    cut = durable(source.mapInArrow(_chunk_batches(window, divisor, k), schema))
+    cut = cut_records(records, k, window, divisor)
     long = cut.filter(F.size("runs") > 0)
     copies = durable(long.groupBy("space", "sequence", "words").agg(F.min("id").alias("rep"), F.max("train").alias("any_train"), F.max("held").alias("any_held")))
     parts = cut.select("space", "id", "train", "held", "sequence", "words", F.size("runs").alias("n")).join(copies.select("space", "sequence", "words", F.col("rep").alias("representative")), ["space", "sequence", "words"], "left")
-    shares = _shared(cut, F.arrays_zip(F.col("chunks").alias("part"), F.col("lengths").alias("length")), "chunk_length").join(_shared(cut, F.transform("runs", lambda r: F.struct(r.alias("part"), F.lit(1).cast("long").alias("length"))), "run_length"), ["space", "id"], "full")
-    share = [F.coalesce(F.round(F.col(f"{c}_length") / F.col(of), 9), F.lit(0.0)).alias(f"{c}_share") for c, of in (("chunk", "words"), ("run", "n"))]
-    members = parts.join(shares, ["space", "id"], "left").select("space", "id", F.when(F.col("n") > 0, F.col("representative")).alias("representative"), "train", "held", *share)
+    members = parts.select("space", "id", F.when(F.col("n") > 0, F.col("representative")).alias("representative"), "train", "held")
 
     reps = long.select("space", F.col("id").alias("rep"), "runs").join(copies.select("space", "rep", "any_train", "any_held"), ["space", "rep"])
     postings = reps.select("space", "rep", F.size("runs").alias("n"), "any_train", "any_held", F.explode("runs").alias("run"))
@@ -108,7 +129,7 @@ def _shared(cut: DataFrame, parts, name: str) -> DataFrame:
 
 
 def held_overlaps(pairs: DataFrame, members: DataFrame, itself: tuple[str, ...] = ()) -> DataFrame:
-    """(space, id, overlap, chunk_share): how much each record of an evaluation split overlaps with the training split.
+    """(space, id, overlap): how much each record of an evaluation split overlaps with the training split.
 
     overlap is the largest with another training record, NULL below the threshold; 1 for a record of a space in `itself`
     that is in the training split too. Copies are counted by their groups and never paired.
@@ -119,7 +140,7 @@ def held_overlaps(pairs: DataFrame, members: DataFrame, itself: tuple[str, ...]
     best = ways.join(trained, ["space", "other"], "left_semi").groupBy("space", "representative").agg(F.max("overlap").alias("near"))
     each = members.filter("held").join(groups, ["space", "representative"], "left").join(best, ["space", "representative"], "left")
     copy = (F.col("trained") > F.col("train").cast("int")) | (F.col("space").isin(*itself) & F.col("train"))
-    return each.select("space", "id", F.when(copy, 1.0).otherwise(F.col("near")).alias("overlap"), "chunk_share")
+    return each.select("space", "id", F.when(copy, 1.0).otherwise(F.col("near")).alias("overlap"))
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame, itself: tuple[str, ...] = ()) -> DataFrame:

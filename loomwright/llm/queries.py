@@ -13,7 +13,7 @@ from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_d
 from loomwright.llm.handwritten import foreign_files
 from loomwright.llm.mixing import mix_sources
 from loomwright.llm.normalfusion import fuse_normal_scores
-from loomwright.llm.overlap import cross_split_overlaps, expand_pairs, held_overlaps
+from loomwright.llm.overlap import cross_split_overlaps, cut_records, expand_pairs, held_overlaps, record_shares
 from loomwright.llm.packing import fill_containers, fill_report
 from loomwright.llm.subjects import main_subjects, subject_shares
 from loomwright.llm.tokens import token_counts
@@ -93,8 +93,8 @@ FROM t LEFT JOIN best ON best.kind = t.kind AND best.id = t.id GROUP BY split, s
 
 def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     """How much of every text of the splits is in chunks, and in runs of four words, of another text of the training split."""
-    members = cross_split_overlaps(_records_of_splits(spark, folder))[1]
-    return members.select(F.col("space").alias("kind"), "id", "train", "held", "chunk_share", "run_share")
+    shares = record_shares(cut_records(_records_of_splits(spark, folder)))
+    return shares.select(F.col("space").alias("kind"), "id", "train", "held", "chunk_share", "run_share")
 
 
 CODE_LETTERS = b"abcdefghijklmnopqrstuvwxyz0123456789_"

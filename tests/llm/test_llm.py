@@ -14,7 +14,7 @@ from loomwright.llm import mixing, packing, queries, wordblocks
 from loomwright.llm.groupjoin import expand_links, near_duplicate_groups, near_duplicate_links
 from loomwright.llm.handwritten import code_kind, foreign_files
 from loomwright.llm.normalfusion import _named, fuse_normal_scores, inverse_normal, judged_weights, normal_scores
-from loomwright.llm.overlap import cross_split_overlaps, expand_pairs, held_overlaps
+from loomwright.llm.overlap import cross_split_overlaps, cut_records, expand_pairs, held_overlaps, record_shares
 from loomwright.llm.subjects import main_subjects, subject_shares
 from loomwright.llm.tokens import token_counts
 from loomwright.llm.topn import top_n_per_group
@@ -383,7 +383,7 @@ def test_shares_of_records_equal_brute_force(spark):
     rows = [("s", f"i{i}", t, rng.random() < 0.5, rng.random() < 0.6) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "space string, id string, text string, train boolean, held boolean")
     pairs, members = cross_split_overlaps(df)
-    got = {r["id"]: r for r in members.collect()}
+    got = {r["id"]: r for r in record_shares(cut_records(df)).collect()}
     assert set(got) == {r[1] for r in rows if r[3] or r[4]}
     for _, i, t, train, held in rows:
         if train or held:
