@@ -54,7 +54,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(release, spark)
+        atexit.register(_release_last, spark)
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,6 +73,14 @@ def release(spark: SparkSession, since: int = 0) -> None:
             place.getFileSystem(hadoop).delete(place, True)
 
 
+def _release_last(spark: SparkSession) -> None:
+    """release, when the process ends; a session that is gone by then leaves its tables to the folder's owner."""
+    try:
+        release(spark)
+    except Exception:
+        _written.clear()
+
+
 def written() -> int:
     """How many tables durable holds now: a mark to release back to."""
     return len(_written)
