@@ -152,7 +152,10 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
     first = rows.groupBy("repo").agg(F.min("seq").alias("first"))
     stats = rows.filter("stats IS NOT NULL").select("snapshot_id", "stats").distinct()
     later = versions.known_snapshots(rows).select("snapshot_id", "repo", "seq").join(first, "repo").filter(F.col("seq") > F.col("first"))
-    return later.join(stats, "snapshot_id").groupBy("repo").agg(F.count(F.lit(1)).alias("increments"), F.round(F.avg("stats.total_s"), 6).alias("mean_s"), F.max("stats.total_s").alias("max_s"), F.sum("stats.files_parsed").alias("files_parsed"))
+    # sums of doubles depend on their order, and a mean half-way between two roundings goes either way; decimals are exact
+    seconds, exact = F.col("stats.total_s"), F.col("stats.total_s").try_cast("decimal(28,18)")
+    mean = F.when(F.count(exact) == F.count(seconds), F.round(F.avg(exact), 6).cast("double")).otherwise(F.round(F.avg(seconds), 6))
+    return later.join(stats, "snapshot_id").groupBy("repo").agg(F.count(F.lit(1)).alias("increments"), mean.alias("mean_s"), F.max(seconds).alias("max_s"), F.sum("stats.files_parsed").alias("files_parsed"))
 
 
 @query("store_listing", "SELECT snapshot_id, occ_key, path, symbol, start_line, content_key, length(code) AS size FROM (SELECT DISTINCT snapshot_id, occ_key FROM memberships) JOIN occurrences USING (occ_key) JOIN contents USING (content_key)")
