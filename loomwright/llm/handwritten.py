@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm import wordblocks as wb
@@ -29,7 +29,7 @@ VENDOR_FOLDER = r"(?i)(^|/)(node_modules|bower_components|third[_-]?party|vendor
 LEAST_SHARE = 0.5  # of a file's rare lines in one file of another repository, and the other way round
 LEAST_FUNCTIONS = 2  # that both files have, unless they have one name: one function is borrowed, a file is copied
 RARE_SHARE, RARE_ANYWAY = 1e-5, 3  # a line is rare up to this share of all functions, or this number of them
-LEAST_VOTES = 0.1  # of a file's rare lines have to nominate a file that it is compared with
+LEAST_VOTES = 0.1  # of a file's rare lines have to nominate a file that it is compared with first
 SYNTHETIC_SHARE = 0.3  # of a snippet's names without a letter
 SHAPE_SHARE, SHAPE_LINES, SHAPE_TOKENS = 0.75, 5, 12  # of a snippet's tokens in lines of one shape; how many, how long
 
@@ -124,16 +124,19 @@ def foreign_files(occurrences: DataFrame, contents: DataFrame, holders: DataFram
     with a NULL occ_key are left out. Repeated rows count once. Other columns are not looked at. Empty tables give no rows.
 
     Method: an inverted index of line hashes over all files. A line is rare if few of all functions have it
-    (RARE_SHARE); what everybody writes is not. Each rare line that several repositories have nominates two files that
-    have it, of different repositories, and so do files of one name; a file's partners are those that LEAST_VOTES of its lines nominate, outside of its own
-    repository. Then the rare lines of both are compared exactly. A file is vendored if LEAST_SHARE of its rare lines are in
-    a partner and LEAST_SHARE of the partner's in it, in LEAST_FUNCTIONS functions or under one file name: edits lower
-    that only by the lines they touch, and single functions borrowed for a file of one's own don't reach it. A file is
+    (RARE_SHARE); what everybody writes is not. A file is vendored if LEAST_SHARE of its rare lines are in a partner, any
+    file of another repository, and LEAST_SHARE of the partner's in it, in LEAST_FUNCTIONS functions or under one file name: edits lower
+    that only by the lines they touch, and single functions borrowed for a file of one's own don't reach it. Only files that
+    share so many lines with other repositories are looked at. Each of their lines nominates two of them, of different
+    repositories, and so do files of one name; those that LEAST_VOTES of its lines nominate are compared with a file
+    exactly, which settles most copies. The rest is compared with every file that has one of its rarest shared lines, as
+    many as no partner can be without, so no partner is missed. A file is
     vendored too if it opens with somebody's licence note or lies in a folder for foreign code. All other files are told
     by the composition of their tokens (code_kind).
 
-    Scale: contents are read once. Files are never paired through a line: copies of a library nominate the same few
-    files, so a library that a third of all repositories hold costs two rows a line and copy.
+    Scale: contents are read once. Copies of a library nominate the same few files, so a library that a third of all
+    repositories hold costs two rows a line and copy. Only files that these don't settle are paired through lines, with
+    partners of a fitting size, equal ones once: files that are made of several popular ones cost a row for each version of these.
     """
     read = contents.select("content_key", "code").filter("content_key IS NOT NULL").dropDuplicates(["content_key"]).mapInArrow(_read_code, "content_key string, kind string, lines array<long>")
     read = durable(read)
@@ -154,32 +157,54 @@ def foreign_files(occurrences: DataFrame, contents: DataFrame, holders: DataFram
 
 def _copied(lines: DataFrame) -> DataFrame:
     """(repo, path) of the files whose rare lines are in a file of another repository, and the other way round."""
-    name = F.xxhash64(F.substring_index("path", "/", -1))
-    # 20 bits of the repository, 44 of the path: files of one repository are neighbours
-    file = F.shiftleft(F.xxhash64("repo"), 44).bitwiseOR(F.shiftrightunsigned(F.xxhash64("path"), 20))
     functions = F.greatest(F.lit(RARE_ANYWAY), F.ceil(RARE_SHARE * F.lit(lines.select("repo", "path", "symbol").distinct().count())))
     rare = lines.select("line", "symbol").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("symbols")).filter(F.col("symbols") <= functions).select("line")
-    held = durable(lines.join(rare, "line").select("repo", "path", "symbol", "line", file.alias("file"), name.alias("name")))
-    placed = held.filter("repo != ''").select("file", "name", "line").distinct()
-
-    def home(column: str) -> Column:
-        return F.shiftrightunsigned(F.col(column), 44)
-
-    sizes = held.select("repo", "path", "line").distinct().groupBy("repo", "path").agg(F.count(F.lit(1)).alias("size"))
-
-    def partners(on: list[str]) -> DataFrame:
-        """The files that LEAST_VOTES of a file's lines nominate: of all that have the line, or of those of its name."""
-        ends = placed.groupBy(*on).agg(F.min("file").alias("lo"), F.max("file").alias("hi")).filter(home("lo") != home("hi"))
-        votes = held.select("repo", "path", "file", "name", "line").distinct().join(ends, on).select("repo", "path", "file", F.explode(F.array("lo", "hi")).alias("partner"))
-        votes = votes.filter(home("partner") != home("file")).groupBy("repo", "path", "partner").agg(F.count(F.lit(1)).alias("votes"))
-        return votes.join(sizes, ["repo", "path"]).filter(F.col("votes") >= LEAST_VOTES * F.col("size")).select("repo", "path", "partner")
-
-    chosen = partners(["line"]).union(partners(["line", "name"])).distinct()
-    there = placed.select(F.col("file").alias("partner"), F.col("name").alias("partner_name"), "line")
-    of_function = held.join(chosen, ["repo", "path"]).join(there, ["partner", "line"], "left").groupBy("repo", "path", "partner", "symbol").agg(F.count(F.lit(1)).alias("n"), F.count("partner_name").alias("s"), F.max(F.col("name") == F.col("partner_name")).alias("same"))
-    compared = of_function.groupBy("repo", "path", "partner").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count_if(F.col("s") > 0).alias("functions"), F.max("same").alias("same"))
-    of_partner = placed.groupBy(F.col("file").alias("partner")).agg(F.count(F.lit(1)).alias("m"))
-    whole = (F.col("s") >= LEAST_SHARE * F.col("n")) & (F.col("s") >= LEAST_SHARE * F.col("m")) & ((F.col("functions") >= LEAST_FUNCTIONS) | F.coalesce("same", F.lit(False)))
-    # what no repository holds may be a version of the one file it is in
-    needed = F.col("homes") >= F.when(F.col("repo") == "", 2).otherwise(1)
-    return compared.join(of_partner, "partner").filter(whole).groupBy("repo", "path").agg(F.count_distinct(home("partner")).alias("homes")).filter(needed).select("repo", "path")
+    name = F.xxhash64(F.substring_index("path", "/", -1))
+    held = durable(lines.join(rare, "line").select("repo", "path", F.xxhash64("repo", "path").alias("file"), F.xxhash64("repo").alias("home"), name.alias("name"), F.xxhash64("symbol").alias("symbol"), "line"))
+    placed = durable(held.filter("repo != ''").select("file", "home", "name", "line").distinct())
+
+    # lines that another repository has: a file without LEAST_SHARE of them has no partner
+    of_line = placed.groupBy("line").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("files"))
+    shared = durable(held.join(of_line, "line").filter("lo != home OR hi != home").select("file", "home", "name", "symbol", "line", "files"))
+    sizes = held.groupBy("file", "repo", "path").agg(F.count(F.lit(1)).alias("n"))
+    of_file = shared.groupBy("file").agg(F.count(F.lit(1)).alias("c"), (F.min("symbol") != F.max("symbol")).alias("several"))
+    opened = durable(of_file.join(sizes, "file").filter(F.col("c") >= LEAST_SHARE * F.col("n")))
+    asked = durable(shared.join(opened.select("file", "n", "c", "several", (F.col("repo") != "").alias("placed")), "file"))
+    partners = durable(placed.groupBy(F.col("file").alias("partner"), F.col("home").alias("partner_home"), F.col("name").alias("partner_name")).agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("line")).alias("x"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y")))
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        """(file, repo, path) of the files that their partners in pairs (file, partner), compared exactly, show to be copies."""
+        there = placed.select(F.col("file").alias("partner"), "line")
+        of_function = asked.select("file", "symbol", "line").join(pairs, "file").join(there, ["partner", "line"]).groupBy("file", "partner", "symbol").agg(F.count(F.lit(1)).alias("s"))
+        compared = of_function.groupBy("file", "partner").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("functions"))
+        compared = compared.join(partners, "partner").join(opened, "file")
+        same = F.col("partner_name") == F.xxhash64(F.substring_index("path", "/", -1))
+        whole = (F.col("s") >= LEAST_SHARE * F.col("n")) & (F.col("s") >= LEAST_SHARE * F.col("m")) & ((F.col("functions") >= LEAST_FUNCTIONS) | same)
+        # what no repository holds may be a version of the one file it is in
+        needed = F.col("homes") >= F.when(F.col("repo") == "", 2).otherwise(1)
+        return compared.filter(whole).groupBy("file", "repo", "path").agg(F.count_distinct("partner_home").alias("homes")).filter(needed).select("file", "repo", "path")
+
+    def nominated(on: list[str]) -> DataFrame:
+        """Pairs of a file and one that LEAST_VOTES of its lines nominate: of all that have the line, or of those of its name."""
+        ends = asked.filter("placed").select("file", "home", "name", "line").groupBy(*on).agg(F.min_by("file", "home").alias("lo"), F.max_by("file", "home").alias("hi"), F.min("home").alias("lo_home"), F.max("home").alias("hi_home")).filter("lo_home != hi_home")
+        ends = ends.select(*on, F.explode(F.array(F.struct(F.col("lo").alias("partner"), F.col("lo_home").alias("there")), F.struct(F.col("hi").alias("partner"), F.col("hi_home").alias("there")))).alias("e")).select(*on, "e.*")
+        votes = asked.join(ends, on).filter("there != home").groupBy("file", "n", "partner").agg(F.count(F.lit(1)).alias("votes"))
+        return votes.filter(F.col("votes") >= LEAST_VOTES * F.col("n")).select("file", "partner")
+
+    settled = durable(proven(nominated(["line"]).union(nominated(["line", "name"])).distinct()))
+
+    # The rest is looked up without a bound. LEAST_SHARE of the lines can't be in a partner that has none of all but
+    # as many, less one, of the shared ones; those that the fewest files have are taken.
+    rest = asked.join(settled.select("file"), "file", "left_anti")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("files", "line", "symbol"))
+    looked = rest.withColumn("place", place).filter(F.col("place") <= F.col("c") - F.ceil(LEAST_SHARE * F.col("n")) + 1).select("file", "home", "name", "line", "c", "several").distinct()
+    # files of one name with the same lines are alike as partners: the first and the last repository's stand for all
+    alike = partners.groupBy("x", "y", "m", "partner_name").agg(F.min_by("partner", "partner_home").alias("lo"), F.max_by("partner", "partner_home").alias("hi"), F.min("partner_home").alias("lo_home"), F.max("partner_home").alias("hi_home"))
+    stand = alike.select("m", "partner_name", F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("partner"), F.col("lo_home").alias("there")), F.struct(F.col("hi").alias("partner"), F.col("hi_home").alias("there"))))).alias("e")).select("m", F.col("partner_name").alias("name"), "e.*")
+    there = durable(placed.select(F.col("file").alias("partner"), "line").join(looked.select("line").distinct(), "line", "left_semi").join(stand, "partner"))
+    fits = (F.col("there") != F.col("home")) & (LEAST_SHARE * F.col("m") <= F.col("c"))
+    # a file with one shared function needs a partner of its name
+    by_line = looked.filter("several").drop("name").join(there, "line").filter(fits)
+    by_name = looked.filter("NOT several").join(there, ["line", "name"]).filter(fits)
+    found = proven(by_line.select("file", "partner").union(by_name.select("file", "partner")).distinct())
+    return settled.union(found).select("repo", "path")
