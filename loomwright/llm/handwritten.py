@@ -30,6 +30,7 @@ LEAST_SHARE = 0.5  # of a file's rare lines in one file of another repository, a
 LEAST_FUNCTIONS = 2  # that both files have, unless they have one name: one function is borrowed, a file is copied
 RARE_SHARE, RARE_ANYWAY = 1e-5, 3  # a line is rare up to this share of all functions, or this number of them
 LEAST_VOTES = 0.1  # of a file's rare lines have to nominate a file that it is compared with first
+MORE_ROWS = 3  # times the rows that the fewest lines to look a partner up by cost
 SYNTHETIC_SHARE = 0.3  # of a snippet's names without a letter
 SHAPE_SHARE, SHAPE_LINES, SHAPE_TOKENS = 0.75, 5, 12  # of a snippet's tokens in lines of one shape; how many, how long
 
@@ -129,7 +130,7 @@ def foreign_files(occurrences: DataFrame, contents: DataFrame, holders: DataFram
     that only by the lines they touch, and single functions borrowed for a file of one's own don't reach it. Only files that
     share so many lines with other repositories are looked at. Each of their lines nominates two of them, of different
     repositories, and so do files of one name; those that LEAST_VOTES of its lines nominate are compared with a file
-    exactly, which settles most copies. The rest is compared with every file that has one of its rarest shared lines, as
+    exactly, which settles most copies. The rest is compared with every file that has enough of its rarest shared lines, as
     many as no partner can be without, so no partner is missed. A file is
     vendored too if it opens with somebody's licence note or lies in a folder for foreign code. All other files are told
     by the composition of their tokens (code_kind).
@@ -194,10 +195,14 @@ def _copied(lines: DataFrame) -> DataFrame:
     settled = durable(proven(nominated(["line"]).union(nominated(["line", "name"])).distinct()))
 
     # The rest is looked up without a bound. LEAST_SHARE of the lines can't be in a partner that has none of all but
-    # as many, less one, of the shared ones; those that the fewest files have are taken.
-    rest = asked.join(settled.select("file"), "file", "left_anti")
-    place = F.row_number().over(Window.partitionBy("file").orderBy("files", "line", "symbol"))
-    looked = rest.withColumn("place", place).filter(F.col("place") <= F.col("c") - F.ceil(LEAST_SHARE * F.col("n")) + 1).select("file", "home", "name", "line", "c", "several").distinct()
+    # as many, less one, of the shared ones; with more of these looked up, it must have as many more. Those that the
+    # fewest files have come first, more of them while they don't multiply the rows.
+    rest = asked.join(settled.select("file"), "file", "left_anti").withColumn("least", F.col("c") - F.ceil(LEAST_SHARE * F.col("n")) + 1)
+    order, of_one = Window.partitionBy("file").orderBy("files", "line", "symbol"), Window.partitionBy("file")
+    rest = rest.withColumn("place", F.row_number().over(order)).withColumn("cost", F.sum("files").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rest = rest.withColumn("least_cost", F.max(F.when(F.col("place") == F.col("least"), F.col("cost"))).over(of_one))
+    looked = rest.filter((F.col("place") <= F.col("least")) | (F.col("cost") <= MORE_ROWS * F.col("least_cost")))
+    looked = durable(looked.withColumn("must", F.count(F.lit(1)).over(of_one) - F.col("least") + 1).select("file", "home", "name", "line", "c", "several", "must"))
     # files of one name with the same lines are alike as partners: the first and the last repository's stand for all
     alike = partners.groupBy("x", "y", "m", "partner_name").agg(F.min_by("partner", "partner_home").alias("lo"), F.max_by("partner", "partner_home").alias("hi"), F.min("partner_home").alias("lo_home"), F.max("partner_home").alias("hi_home"))
     stand = alike.select("m", "partner_name", F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("partner"), F.col("lo_home").alias("there")), F.struct(F.col("hi").alias("partner"), F.col("hi_home").alias("there"))))).alias("e")).select("m", F.col("partner_name").alias("name"), "e.*")
@@ -206,5 +211,6 @@ def _copied(lines: DataFrame) -> DataFrame:
     # a file with one shared function needs a partner of its name
     by_line = looked.filter("several").drop("name").join(there, "line").filter(fits)
     by_name = looked.filter("NOT several").join(there, ["line", "name"]).filter(fits)
-    found = proven(by_line.select("file", "partner").union(by_name.select("file", "partner")).distinct())
+    hits = by_line.select("file", "partner", "must").union(by_name.select("file", "partner", "must")).groupBy("file", "partner", "must").agg(F.count(F.lit(1)).alias("s"))
+    found = proven(hits.filter("s >= must").select("file", "partner"))
     return settled.union(found).select("repo", "path")
