@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +49,29 @@ def token_counts(df: DataFrame, keys: list[str], text: str, limit: int | None =
         return few.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     raw = df.select(*keys, F.explode(raw_tokens(F.col(text))).alias("raw")).groupBy(*keys, "raw").agg(F.count(F.lit(1)).alias("n"))
     return raw.select(*keys, "n", F.explode(expand(F.col("raw"))).alias("token")).groupBy(*keys, "token").agg(F.sum("n").alias("tf"))
+
+
+@lru_cache(1 << 17)
+def _keys(raw: str) -> tuple[tuple[int, int], ...]:
+    """(64-bit key, last byte) of the md5 of each token of one raw identifier or number: expand in Python, for ASCII letters."""
+    parts = [p for p in re.sub(HUMP, "_", raw).lower().split("_") if p]
+    found = [raw.lower(), *(p for p in parts if len(p) > 1)] if len(parts) > 1 else [raw.lower()]
+    digests = (hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in found if t not in STOP_WORDS)
+    return tuple((int.from_bytes(d[:8], "little", signed=True), d[15]) for d in digests)
+
+
+def hashed_tokens(raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, last byte) of all tokens of lists of raw tokens, in order, repeated ones repeated: tokens as hashes.
+
+    Each distinct raw token of the batch is cut once.
+    """
+    words = raw.flatten().dictionary_encode()
+    counts = np.diff(raw.offsets.to_numpy()) if raw.null_count == 0 else raw.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    cut = [_keys(w) for w in words.dictionary.to_pylist()]
+    size = np.array([len(c) for c in cut], dtype=np.int64)
+    every = np.array([x for c in cut for x in c], dtype=np.int64).reshape(-1, 2)
+    which = words.indices.to_numpy().astype(np.int64)
+    many = size[which]
+    place = np.repeat((np.cumsum(size) - size)[which] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    row = np.repeat(np.repeat(np.arange(len(raw)), counts), many)
+    return row, every[place, 0], every[place, 1]

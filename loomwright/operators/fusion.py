@@ -50,7 +50,7 @@ def zscore(candidates: DataFrame, groups: list[str], item: str, weights: dict[st
 
 def first_only(candidates: DataFrame, groups: list[str], item: str, source: str) -> DataFrame:
     """(groups..., item, score, rank): no fusion, the list of one source as it is."""
-    return top_k(candidates.filter(F.col("source") == source).select(*groups, item, "score"), groups, "score", item, None)
+    return candidates.filter(F.col("source") == source).select(*groups, item, "score", "rank")
 
 
 def fuse(candidates: DataFrame, groups: list[str], item: str, sources: list[str], method: dict | None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import document_text, unified_diff
 from loomwright.functions.vectors import hash_embedding
-from loomwright.operators.bm25 import bm25_index, bm25_search
+from loomwright.operators.bm25 import Index, bm25_index, bm25_search
 from loomwright.operators.dense import dense_search
 from loomwright.operators.fusion import rrf
 from loomwright.session import durable
@@ -104,14 +104,14 @@ def by_hash(df: DataFrame, keys: list[str], text: str, role: str) -> DataFrame:
     return hash_embedding(df, keys, text)
 
 
-def prepare_search(documents: DataFrame, document: str, lexical: str, dense: str, embed=by_hash, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def prepare_search(documents: DataFrame, document: str, lexical: str, dense: str, embed=by_hash, vectors: DataFrame | None = None) -> tuple[Index, DataFrame]:
     """(postings, vectors) of documents, stored, for any number of searches; given vectors (document, vec) are taken as they are."""
     if vectors is None:
         vectors = embed(documents.select(document, dense), [document], dense, "document")
-    return durable(bm25_index(documents.select(document, lexical), document, lexical)), durable(vectors.select(document, "vec"))
+    return bm25_index(documents.select(document, lexical), document, lexical), durable(vectors.select(document, "vec"))
 
 
-def search_prepared(prepared: tuple[DataFrame, DataFrame], document: str, queries: DataFrame, depth: int, k: int, embed=by_hash) -> DataFrame:
+def search_prepared(prepared: tuple[Index, DataFrame], document: str, queries: DataFrame, depth: int, k: int, embed=by_hash) -> DataFrame:
     """(qid, document, score, rank): dense and lexical search, `depth` candidates each, fused by reciprocal rank."""
     postings, vectors = prepared
     words = bm25_search(queries, "qid", "text", postings, document, depth)

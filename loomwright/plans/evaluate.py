@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import resource
 import statistics
 import sys
@@ -119,18 +120,27 @@ class Evaluation:
     report: DataFrame
 
 
-def evaluate(config: dict, corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> Evaluation:
-    """All results of a configuration, lazily but for candidates and run, which are checkpointed since all else reads them."""
+def evaluate(config: dict, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, known: dict[str, DataFrame] | None = None) -> Evaluation:
+    """All results of a configuration, lazily but for each retriever's list and the run, which are checkpointed since all else reads them.
+
+    known: lists that evaluations of the same tables have in common; those found there are taken, the others are added.
+    """
     c = Config.of(config)
     asked, judged = load_split(queries, qrels, c.split)
     if c.folds is not None:
         asked = asked.filter(fold(F.col("qid")).isin(c.folds))
     asked = asked.filter(FILTERS[c.query_filter](F.col("text")))
     judged = judged.join(asked.select("qid"), "qid", "left_semi")
-    lists = [retrieve(spec, corpus, asked, c.depth) for spec in c.retrievers]
-    candidates = durable(reduce(DataFrame.unionByName, lists))
+    known, lists = {} if known is None else known, []
+    for spec in c.retrievers:
+        name = json.dumps([spec, c.depth, c.split, c.folds, c.query_filter], sort_keys=True)
+        if name not in known:
+            known[name] = durable(retrieve(spec, corpus, asked, c.depth))
+        lists.append(known[name])
+    candidates = reduce(DataFrame.unionByName, lists)
     names = [source_name(spec) for spec in c.retrievers]
-    run = durable(fuse(candidates, ["qid"], "doc_id", names, c.fusion))
+    # a query has few candidates, so one shuffle by query does for both steps of a fusion
+    run = durable(fuse(candidates.repartition("qid"), ["qid"], "doc_id", names, c.fusion)) if c.fusion else fuse(candidates, ["qid"], "doc_id", names, None)
     scored = per_query(run, judged)
     by_source = per_query(candidates, judged, ["source"])
     report = token_lengths(query_report(run, candidates, scored, judged, asked, corpus), c.retrievers, asked, corpus)

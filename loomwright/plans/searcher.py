@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import document_text
 from loomwright.operators import versions
+from loomwright.operators.bm25 import Index
 from loomwright.plans.encoders import HASH, Encoder
 from loomwright.session import durable
 from loomwright.sources.store import SnapshotStore
@@ -25,7 +26,7 @@ class Searcher:
 
     def __init__(self, store: SnapshotStore, encoder: Encoder = HASH, most_prepared: int = 32) -> None:
         self.store, self.encoder, self.most = store, encoder, most_prepared
-        self.prepared: dict[str, tuple[DataFrame, tuple[DataFrame, DataFrame]]] = {}
+        self.prepared: dict[str, tuple[DataFrame, tuple[Index, DataFrame]]] = {}
 
     def _embed(self, df: DataFrame, keys: list[str], text: str, role: str) -> DataFrame:
         return self.encoder.embed(df, keys, text, role)
@@ -34,7 +35,7 @@ class Searcher:
         found, _ = self.store.embed(contents, self.encoder.recipe("document"), lambda fresh: self._embed(fresh, ["content_key"], "code", "document"))
         return found
 
-    def prepare(self, snapshot: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    def prepare(self, snapshot: str) -> tuple[DataFrame, tuple[Index, DataFrame]]:
         """(occurrences, (postings, vectors)) of a snapshot, made once; of the least recent ones `most_prepared` are kept."""
         if snapshot not in self.prepared:
             tables = (self.store.table(t) for t in ("membership", "occurrence", "content"))
