@@ -263,8 +263,8 @@ HYBRID = {"run_id": "hybrid", "split": "train", "retrievers": [{"type": "dense",
 LEXICAL = {"run_id": "lexical", "split": "train", "retrievers": [{"type": "bm25"}], "fusion": None, "depth": EVALUATION_DEPTH}
 
 
-def _evaluated(spark: SparkSession, d: str, config: dict):
-    return evaluate(config, *(read_table(spark, d, t) for t in ("corpus", "queries", "qrels")))
+def _evaluated(spark: SparkSession, d: str, config: dict, known: dict | None = None):
+    return evaluate(config, *(read_table(spark, d, t) for t in ("corpus", "queries", "qrels")), known)
 
 
 EVAL_SQL = f"""{SPLIT_SQL}, {token_ctes('dt', 'corpus', 'doc_id', 'text')}, {token_ctes('qt', 'q', 'qid', 'text')}, {hash_ctes('dh', 'dt', 'doc_id')}, {hash_ctes('qh', 'qt', 'qid')},
@@ -299,7 +299,9 @@ f AS (SELECT fold, count(*) AS n, round(avg(nn - bn), 6) AS d_ndcg, round(avg(CA
 
 
 def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(durable(_evaluated(spark, d, c).report) for c in (LEXICAL, HYBRID))
+    """The two reports; both configurations share the list of the retriever they both have."""
+    known: dict[str, DataFrame] = {}
+    return tuple(durable(_evaluated(spark, d, c, known).report) for c in (LEXICAL, HYBRID))
 
 
 @query("compare_folds", f"{PAIR_SQL} SELECT fold, n, d_ndcg, d_mrr FROM f")

@@ -72,3 +72,13 @@ def test_hashed_tokens_are_the_tokens(spark):
 
     hashes = [[int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "little", signed=True) for t in ts] for ts in want]
     assert [[int(k) for k in key[row == i]] for i in range(4)] == hashes
+
+
+def test_comparisons_share_the_list_that_both_sides_have(spark, small, monkeypatch):
+    from loomwright.plans import corpus_queries, evaluate
+
+    asked = []
+    retrieve = evaluate.retrieve
+    monkeypatch.setattr(evaluate, "retrieve", lambda spec, *rest: asked.append(spec["type"]) or retrieve(spec, *rest))
+    assert sum(r["n"] for r in corpus_queries.compare_folds(spark, small).collect()) > 0
+    assert sorted(asked) == ["bm25", "dense"]
