@@ -82,3 +82,13 @@ def test_comparisons_share_the_list_that_both_sides_have(spark, small, monkeypat
     monkeypatch.setattr(evaluate, "retrieve", lambda spec, *rest: asked.append(spec["type"]) or retrieve(spec, *rest))
     assert sum(r["n"] for r in corpus_queries.compare_folds(spark, small).collect()) > 0
     assert sorted(asked) == ["bm25", "dense"]
+
+
+def test_comparisons_store_only_what_they_read(spark, small, monkeypatch):
+    from loomwright.plans import corpus_queries
+
+    stored = []
+    durable = corpus_queries.durable
+    monkeypatch.setattr(corpus_queries, "durable", lambda df: stored.append(df.columns) or durable(df))
+    assert corpus_queries.compare_summary(spark, small).count() == 1
+    assert stored == [["qid", "rank", "ndcg10"]] * 2
