@@ -92,3 +92,15 @@ def test_comparisons_store_only_what_they_read(spark, small, monkeypatch):
     monkeypatch.setattr(corpus_queries, "durable", lambda df: stored.append(df.columns) or durable(df))
     assert corpus_queries.compare_summary(spark, small).count() == 1
     assert stored == [["qid", "rank", "ndcg10"]] * 2
+
+
+def test_buckets_of_misses_send_no_documents_to_blocks_of_queries(spark, small, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from loomwright.plans import corpus_queries
+
+    def refuse(*_):
+        raise AssertionError("documents are sent once for each block of queries")
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", refuse)
+    assert corpus_queries.miss_buckets(spark, small).count() > 0
